@@ -76,7 +76,7 @@ def add_fingerprint(df: DataFrame, text: str = "text", shingle: int = 3, keep: l
 def _finer(mask: int) -> list[int]:
     """Keys below a key: its bits and three of six blocks of the others."""
     free = [i for i in range(64) if not mask >> i & 1]
-    blocks = [sum(1 << i for i in part) for part in np.array_split(free, BLOCKS)]
+    blocks = [sum(1 << int(i) for i in part) for part in np.array_split(free, BLOCKS)]
     return [mask | sum(blocks[k] for k in kept) for kept in combinations(range(BLOCKS), BLOCKS - BITS)]
 
 

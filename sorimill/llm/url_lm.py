@@ -7,7 +7,8 @@ frequencies are mixed with the next shorter context's prediction, weighted by
 the number of different characters seen there (Witten-Bell), down to a uniform
 start. A URL's score is the mean over its characters of the difference of the
 logarithms. The threshold is calibrated on folds of the labelled URLs that the
-model of the calibration hasn't seen; it maximises the smaller class accuracy.
+model of the calibration hasn't seen; it maximises the smaller class accuracy
+(the lowest such cut, halfway between two scores).
 
 Labelled URLs are those that a rule decides; all of them are counted, in the
 cluster. Counts have at most 40**4 cells for each class, whatever the corpus.
@@ -158,11 +159,12 @@ def _threshold(scored: list[tuple[float, int, int]]) -> float:
     at = [{}, {}]
     for s, a, n in scored:
         at[a][s] = at[a].get(s, 0) + n
-    best, least, blocked, lost = -1.0, -math.inf, 0, 0
+    best, least, blocked, lost, before = -1.0, -math.inf, 0, 0, -math.inf
     for s in sorted({*at[0], *at[1]}):
         right = min(blocked / total[0], 1 - lost / total[1])
         if right > best:
-            best, least = right, s
+            best, least = right, (before + s) / 2
+        before = s
         blocked += at[0].get(s, 0)
         lost += at[1].get(s, 0)
     return least
