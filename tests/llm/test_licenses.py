@@ -74,7 +74,7 @@ def test_every_edited_notice_is_found():
                     text.insert(at, "q")
                 else:
                     del text[at]
-            text = "".join(text)
+            text = " ".join("".join(text).split())
             if edits(text, n.phrase) <= n.errors:
                 assert any(x[0] == n.label for x in fuzzy(f"one two {text} three")), (n, text)
 
