@@ -142,7 +142,7 @@ def test_logs(spark):
 
 
 def test_protected_pieces(spark):
-    texts = ["`코드 3개` 밖", "(https://a.b/c?d=1.) 끝", "C:\\a\\b.txt로", "./x/y.py에서 3개", "메일 a.b@c.de."]
+    texts = ["`코드 3개` 밖", "(https://a.b/c?d=1.) 끝", "C:\\a\\b.txt로", "./x/y.py에서 3개", "메일 a.b@c.de로"]
     got = run(spark, texts, lambda c: F.get(protected(c), F.lit(1)))
     assert got == ["`코드 3개`", "https://a.b/c?d=1", "C:\\a\\b.txt", "./x/y.py", "a.b@c.de"]
 
