@@ -161,7 +161,7 @@ def plan_mix(
     final = kept.select("shard", "rank", "taken").unionByName(moved).groupBy("shard", "rank").agg(F.sum("taken").alias("taken")).where("taken > 0")
 
     # slots: the j-th of a source takes block perm(j mod n) of pass j div n
-    final = final.withColumn("upto", F.sum("taken").over(by_rank))
+    final = final.withColumn("upto", F.sum("taken").over(by_rank)).repartition(tasks, "shard", "rank")
     slots = final.select("shard", "rank", F.explode(F.expr("sequence(upto - taken, upto - 1)")).alias("j"))
     slots = slots.join(sources.select("rank", "source", "blocks"), "rank")
     slots = slots.withColumn("pass_no", F.floor(F.col("j") / F.col("blocks"))).withColumn("slot", F.pmod("j", "blocks"))
