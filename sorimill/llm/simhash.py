@@ -14,6 +14,17 @@ remain, so groups are bounded and no pair is lost.
 Links are then joined to components by alternating large and small stars over
 written tables; nothing of the corpus is gathered on the driver.
 
+``keep_one`` also links texts whose five-word shingles are similar (0.8 or more),
+which differ in more bits than keys of shingles can look up. Their distinct word
+pairs agree more: fingerprints of these are split into nine blocks, and those
+that differ in at most ``NEAR_BITS`` = 6 bits surely share a key of three, those
+of up to ``NEAR_MOST`` bits mostly. Texts that have such a neighbour get a
+fingerprint of 512 bits over five-word shingles and meet by key once more; two
+are linked there if at most ``WIDE_BITS`` bits differ. At a similarity of 0.8,
+multisets have a cosine of 8/9, so 77.5 of 512 bits are expected to differ, with
+a deviation of 8; the limit lies one and a third deviations above. Links are thus
+sure for almost equal texts and likely from 0.8 on, not exact there.
+
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any
 other; null ids are smaller than none (a component's id is its smallest non-null
 id, null if it has none); rows that repeat an id are one document each; an empty
@@ -36,6 +47,16 @@ from .common import append_columns, as_bytes, cut, small
 
 BITS = 3
 BLOCKS = 6
+#: The same for fingerprints of distinct word pairs; as neighbours count those of up to NEAR_MOST bits.
+NEAR_BITS = 6
+NEAR_BLOCKS = 9
+NEAR_MOST = 10
+#: Fingerprints over SHINGLE words of WIDE x 64 bits, and how many may differ.
+SHINGLE = 5
+WIDE = 8
+WIDE_BITS = 88
+#: Of a part of a group, so many are compared with all others at a time by these.
+WIDE_ROWS = 32
 #: Classes that are compared within a key, at most.
 GROUP = 8192
 #: Of these, so many are compared with all others at a time.
@@ -48,20 +69,45 @@ ROUNDS = 60
 FINGERPRINT = T.StructField("fingerprint", T.LongType(), False)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Signed 64-bit SimHash of the words of a UTF-8 text, A-Z lower-cased."""
+def _majority(text: bytes, shingle: int, lanes: int = 1, distinct: bool = False) -> bytes:
+    """Bits set in over half the hashes of a text's shingles, 64 for each lane.
+
+    The first lane takes the hashes as they are, others mix them anew.
+    """
     words = text.lower().split()
     if not words:
-        return 0
+        return bytes(8 * lanes)
     n = max(1, len(words) - shingle + 1)
     h, join = xxhash.xxh64_intdigest, b" ".join
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((lanes, 64), np.int64)
+    once = list({join(words[i : i + shingle]) for i in range(n)}) if distinct else None
+    n = len(once) if distinct else n
     for at in range(0, n, CHUNK):
-        part = np.fromiter((h(join(words[i : i + shingle]), 42) for i in range(at, min(n, at + CHUNK))), np.uint64)
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    packed = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
-    return int(packed.view("<i8")[0])
+        span = range(at, min(n, at + CHUNK))
+        part = np.fromiter((h(once[i] if distinct else join(words[i : i + shingle]), 42) for i in span), np.uint64, len(span))
+        for k in range(lanes):
+            x = part + np.uint64(k) * np.uint64(0x9E3779B97F4A7C1)
+            for turn in range(2 if k else 0):
+                x = (x ^ (x >> np.uint64(30 + turn))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = x ^ (x >> np.uint64(31)) if k else x
+            bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * ones > n).astype(np.uint8), axis=1, bitorder="little").tobytes()
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Signed 64-bit SimHash of the words of a UTF-8 text, A-Z lower-cased."""
+    return int.from_bytes(_majority(text, shingle), "little", signed=True)
+
+
+def pairs_fingerprint(text: bytes) -> int:
+    """The same of the distinct pairs of words next to each other."""
+    return int.from_bytes(_majority(text, 2, distinct=True), "little", signed=True)
+
+
+def wide_fingerprint(text: bytes) -> bytes:
+    """SimHash of WIDE x 64 bits over SHINGLE words."""
+    return _majority(text, SHINGLE, WIDE)
 
 
 def add_fingerprint(df: DataFrame, text: str = "text", shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
@@ -73,35 +119,35 @@ def add_fingerprint(df: DataFrame, text: str = "text", shingle: int = 3, keep: l
     return append_columns(df, [text], [FINGERPRINT], make, keep)
 
 
-def _finer(mask: int) -> list[int]:
-    """Keys below a key: its bits and three of six blocks of the others."""
+def _finer(mask: int, blocks: int = BLOCKS, bits: int = BITS) -> list[int]:
+    """Keys below a key: its bits and all but ``bits`` of the blocks of the others."""
     free = [i for i in range(64) if not mask >> i & 1]
-    blocks = [sum(1 << int(i) for i in part) for part in np.array_split(free, BLOCKS)]
-    return [mask | sum(blocks[k] for k in kept) for kept in combinations(range(BLOCKS), BLOCKS - BITS)]
+    parts = [sum(1 << int(i) for i in part) for part in np.array_split(free, blocks)]
+    return [mask | sum(parts[k] for k in kept) for kept in combinations(range(blocks), blocks - bits)]
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """(mask, fp) to (mask, fp, key) for every finer key."""
+def _keyed(rows: DataFrame, blocks: int = BLOCKS, bits: int = BITS) -> DataFrame:
+    """(mask, fp, ...) to (key, mask, fp, ...) for every finer key."""
+    schema = T.StructType([T.StructField("key", T.LongType()), *rows.schema.fields])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[int]] = {}
         for batch in batches:
             masks = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            fps = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for m in np.unique(masks):
-                below = known.setdefault(int(m), _finer(int(m)))
-                own = fps[masks == m]
+                below = known.setdefault(int(m), _finer(int(m), blocks, bits))
+                own = batch.filter(pa.array(masks == m))
+                fps = own.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 for mask in below:
                     k = np.uint64(mask)
                     with np.errstate(over="ignore"):  # a hash of mask and masked bits; equal pairs stay equal
-                        key = ((own & k) ^ (k * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+                        key = ((fps & k) ^ (k * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
                         key ^= key >> np.uint64(32)
                         key *= np.uint64(0xD6E8FEB86659FD93)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(own), k).view(np.int64)), pa.array(own.view(np.int64)), pa.array(key.view(np.int64))], names=["mask", "fp", "key"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(fps), k).view(np.int64)), *own.columns[1:]], names=names)
 
-    return rows.mapInArrow(run, "mask long, fp long, key long")
+    return rows.mapInArrow(run, schema)
 
 
 def _stars(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -156,26 +202,116 @@ def _linked(keyed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "u long, v long")
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(u, v): links among distinct fingerprints ``fp`` that span their components."""
-    rows, parts = classes.select(F.lit(0).cast("long").alias("mask"), "fp"), []
-    for level in range(3):
-        keyed = _keyed(rows)
-        if level == 2:
-            parts.append(_linked(keyed))
-            break
-        hot = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key"))
-        if hot.isEmpty():
-            parts.append(_linked(keyed))
+def _by_key(rows: DataFrame, linked, blocks: int, bits: int) -> DataFrame:
+    """``linked`` of the keyed rows (mask, fp, ...), keys of over GROUP rows split again."""
+    parts, free = [], 64
+    while True:
+        keyed = _keyed(rows, blocks, bits)
+        free -= free // blocks * (blocks - bits)
+        hot = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key")) if free >= 2 * blocks else None
+        if hot is None or hot.isEmpty():
+            parts.append(linked(keyed))
             break
-        parts.append(_linked(keyed.join(small(hot), "key", "left_anti")))
-        rows = cut(keyed.join(small(hot), "key", "left_semi").select("mask", "fp"))
+        parts.append(linked(keyed.join(small(hot), "key", "left_anti")))
+        rows = cut(keyed.join(small(hot), "key", "left_semi").drop("key"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return cut(out.distinct())
 
 
+def links(classes: DataFrame) -> DataFrame:
+    """(u, v): links among distinct fingerprints ``fp`` that span their components."""
+    return _by_key(classes.select(F.lit(0).cast("long").alias("mask"), "fp"), _linked, BLOCKS, BITS)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns behind the key, of each group of two rows or more; batches are sorted by key."""
+    kept: pa.Table | None = None
+
+    def of(table: pa.Table):
+        key = table.column(0).to_numpy()
+        edges = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+        columns = [c.combine_chunks() for c in table.columns[1:]]
+        for s, e in zip(edges[:-1], edges[1:]):
+            if e - s > 1:
+                yield [c.slice(s, e - s).to_numpy(zero_copy_only=False) for c in columns]
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([kept, table]) if kept is not None else table
+        if table.num_rows:
+            key = table.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the last group may go on in the next batch
+            yield from of(table.slice(0, last))
+            kept = table.slice(last)
+    if kept is not None:
+        yield from of(kept)
+
+
+def _with_neighbours(keyed: DataFrame) -> DataFrame:
+    """``fp`` of those that have another one within NEAR_MOST bits in their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (fp,) in _groups(batches):
+            bits, near = fp.view(np.uint64), np.zeros(len(fp), bool)
+            for at in range(0, len(fp), ROWS):
+                near[at : at + ROWS] = (np.bitwise_count(bits[at : at + ROWS, None] ^ bits[None, :]) <= NEAR_MOST).sum(axis=1) > 1
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(fp[near])], names=["fp"])
+
+    return keyed.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "fp long")
+
+
+def _similar(keyed: DataFrame) -> DataFrame:
+    """(u, v): links of nodes within NEAR_MOST and WIDE_BITS in their key that span its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp, node, wide in _groups(batches):
+            bits = fp.view(np.uint64)
+            wide = np.frombuffer(b"".join(wide), np.uint64).reshape(-1, WIDE)
+            open_, found = np.arange(len(fp)), []
+            while len(open_) > 1:
+                first, edge, rest = open_[0], open_[:1], open_[1:]
+                while len(edge) and len(rest):
+                    near = np.zeros(len(rest), bool)
+                    for at in range(0, len(edge), WIDE_ROWS):
+                        part, far = edge[at : at + WIDE_ROWS], np.flatnonzero(~near)
+                        i, j = np.nonzero(np.bitwise_count(bits[part, None] ^ bits[None, rest[far]]) <= NEAR_MOST)
+                        close = np.bitwise_count(wide[part[i]] ^ wide[rest[far[j]]]).sum(axis=1, dtype=np.int64) <= WIDE_BITS
+                        near[far[j[close]]] = True
+                    edge, rest = rest[near], rest[~near]
+                    found += [(node[first], node[x]) for x in edge if node[x] != node[first]]
+                open_ = rest
+            if found:
+                u, v = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    placed = keyed.select("key", "fp", "node", "wide").repartition("key").sortWithinPartitions("key", "fp", "node")
+    return placed.mapInArrow(run, "u long, v long")
+
+
+def similar_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): links among fingerprints of texts that are similar by their shingles.
+
+    ``prints`` has text_hash, fingerprint and pairs_print; ``docs`` has text_hash and text.
+    """
+    mask = F.lit(0).cast("long").alias("mask")
+    spots = cut(prints.groupBy(F.col("pairs_print").alias("fp"), F.col("fingerprint").alias("node")).agg(F.min("text_hash").alias("text_hash")))
+    fps = cut(spots.groupBy("fp").agg(F.count("*").alias("n")))
+    near = _by_key(fps.select(mask, "fp"), _with_neighbours, NEAR_BLOCKS, NEAR_BITS)
+    near = cut(near.unionByName(fps.where("n > 1").select("fp")).distinct())
+    near = cut(spots.join(small(near), "fp").select(mask, "fp", "node", "text_hash"))
+
+    def make():
+        return lambda column: [[wide_fingerprint(t) for t in as_bytes(column)]]
+
+    texts = docs.join(small(near.select("text_hash").distinct()), "text_hash", "left_semi")
+    wide = append_columns(texts, ["text"], [T.StructField("wide", T.BinaryType(), False)], make, ["text_hash"])
+    wide = wide.groupBy("text_hash").agg(F.min("wide").alias("wide"))  # repeated texts have it once
+    return _by_key(cut(near.join(wide, "text_hash").select("mask", "fp", "node", "wide")), _similar, NEAR_BLOCKS, NEAR_BITS)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); root is the smallest of its component."""
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -200,12 +336,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _named(docs: DataFrame, doc_id: str, text: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+def _named(docs: DataFrame, doc_id: str, text: str, shingle: int, similar: bool = False) -> tuple[DataFrame, DataFrame]:
     """Written tables: (doc_id, text_hash, fingerprint) of the documents, (fp, root) of their classes."""
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
-    prints = cut(add_fingerprint(ids, "text", shingle, ["doc_id", "text_hash"]))
+    if similar:
+        fields = [FINGERPRINT, T.StructField("pairs_print", T.LongType(), False)]
+
+        def make():
+            return lambda column: [
+                pa.array([fingerprint(t, shingle) for t in as_bytes(column)], pa.int64()),
+                pa.array([pairs_fingerprint(t) for t in as_bytes(column)], pa.int64()),
+            ]
+
+        prints = cut(append_columns(ids, ["text"], fields, make, ["doc_id", "text_hash"]))
+    else:
+        prints = cut(add_fingerprint(ids, "text", shingle, ["doc_id", "text_hash"]))
     classes = cut(prints.select(F.col("fingerprint").alias("fp")).distinct())
-    roots = components(links(classes))
+    edges = links(classes)
+    if similar:
+        edges = edges.unionByName(similar_links(prints, ids.select("text_hash", "text")))
+    roots = components(edges)
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return prints, cut(named)
 
@@ -222,11 +372,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns.
 
+    Links are those of the fingerprints and those of similar five-word shingles.
     A document of null id stays only if its component has no other; of rows
     that repeat the kept id and text, one stays. Whole documents are only
     moved if those that go are too many to broadcast, or for repeated rows.
     """
-    prints, named = _named(docs, doc_id, text, shingle)
+    prints, named = _named(docs, doc_id, text, shingle, similar=True)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     by_print = prints.groupBy(F.col("fingerprint").alias("fp")).agg(best.alias("best"))
     by_root = by_print.join(named, "fp").groupBy("root").agg(F.min("best").alias("best"))

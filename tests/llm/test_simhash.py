@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from sorimill.llm import queries, simhash
-from tests.llm.data import documents
+from tests.llm.data import documents, words
 
 
 def brute_print(text):
@@ -39,6 +39,62 @@ def brute_components(prints):
     return [(d, f, least.get(find(f))) for d, f in prints]
 
 
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_similar(rows, bits):
+    """Ids that stay of (id, text): links of 3 bits, or of ``bits`` by word pairs and WIDE_BITS by shingles."""
+    texts = [(t or "").encode() for _, t in rows]
+    wide = np.frombuffer(b"".join(map(simhash.wide_fingerprint, texts)), np.uint64).reshape(-1, simhash.WIDE)
+    two = np.array(list(map(simhash.pairs_fingerprint, texts)), np.int64).view(np.uint64)
+    three = np.array([brute_print(t or "") for _, t in rows], np.uint64)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        near = np.bitwise_count(three[i] ^ three[:i]) <= 3
+        near |= (np.bitwise_count(two[i] ^ two[:i]) <= bits) & (np.bitwise_count(wide[i] ^ wide[:i]).sum(axis=1, dtype=int) <= simhash.WIDE_BITS)
+        for j in np.flatnonzero(near):
+            root[find(i)] = find(int(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return set(least.values())
+
+
+def edited(rng, text, n):
+    w = text.split()
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"new{rng.random()}"
+    return " ".join(w)
+
+
+def test_similar_texts_are_found(spark):
+    """Of texts of a similarity of 0.8 or more to another at least 95 in 100 go; below 0.6 none does."""
+    rng, rows = random.Random(3), []
+    for k in range(300):
+        text = words(k, rng.randint(60, 900))
+        n = len(text.split())
+        rows += [(2 * k, text), (2 * k + 1, edited(rng, text, max(1, round(n * rng.choice([0.004, 0.01, 0.018, 0.06, 0.1])))))]
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()}
+    near, gone = 0, 0
+    for (_, a), (d, b) in zip(rows[::2], rows[1::2]):
+        x, y = shingles(a), shingles(b)
+        like = len(x & y) / len(x | y)
+        if like >= 0.8:
+            near, gone = near + 1, gone + (d not in kept)
+        elif like < 0.6:
+            assert d in kept
+    assert near > 100 and gone >= 0.95 * near
+    assert {2 * k for k in range(300)} <= kept
+
+
 def run(df):
     return sorted(((r.doc_id, r.fingerprint % (1 << 64), r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
 
