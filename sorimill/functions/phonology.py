@@ -5,6 +5,10 @@ class of the next vowel, whether a blank stands between). The table of all
 these, 28 x 20 x 3 x 2 entries, is computed here from the rules, in their order,
 and put into the plan as one string. Column expressions look it up; no rows are
 shuffled or exploded.
+
+Some pairs depend on the class of the word. An analyzer's tokens may be passed in
+as a column; then two more tables serve, for pairs of the class in question and
+for others. Without tokens, or where they don't fit the text, such pairs stay.
 """
 
 from __future__ import annotations
@@ -28,7 +32,11 @@ def _held(coda: str, onset: str, space: bool) -> bool:
     return coda == "ㄺ" and onset == "ㄱ" or coda in "ㄴㄵㅁㄻㄼㄾ" and onset in _STOPS
 
 
-def pair(coda: str, onset: str, vowel: str, space: bool) -> tuple[str, str, list[str]]:
+#: What is known of the word's class: nothing, that it isn't the one in question, that it is.
+HELD, FREE, TENSED = "held", "free", "tensed"
+
+
+def pair(coda: str, onset: str, vowel: str, space: bool, word: str = HELD) -> tuple[str, str, list[str]]:
     """(coda, onset, rules) of a pair; ``onset`` is empty at the end of a run."""
     rules: list[str] = []
 
@@ -37,7 +45,12 @@ def pair(coda: str, onset: str, vowel: str, space: bool) -> tuple[str, str, list
         coda, onset = c, o
         rules.append(rule)
 
-    if coda == " " or onset and _held(coda, onset, space):
+    if coda == " ":
+        return coda, onset, rules
+    if word != FREE and onset and _held(coda, onset, space):
+        if word == TENSED:
+            article = "ko.modifier.tensing.27" if space else "ko.stem.rieul_giyeok" if coda == "ㄺ" else "ko.stem.tensing.25" if coda in "ㄼㄾ" else "ko.stem.tensing.24"
+            to({"ㄵ": "ㄴ", "ㄻ": "ㅁ", "ㄺ": "ㄹ", "ㄼ": "ㄹ", "ㄾ": "ㄹ"}.get(coda, coda), t.TENSE[onset], article)
         return coda, onset, rules
     tight = bool(onset) and not space
     if tight and coda in "ㄷㅌㄾ" and onset == "ㅇ" and vowel in "ㅣㅕ":
@@ -79,14 +92,14 @@ def pair(coda: str, onset: str, vowel: str, space: bool) -> tuple[str, str, list
 
 
 @cache
-def table() -> str:
+def table(word: str = HELD) -> str:
     """Two characters for each entry: the new coda and onset, as offsets from '0'."""
     out = []
     for coda in t.CODAS:
         for onset in (*t.ONSETS, ""):
             for vowel in "ㅣㅕㅏ":
                 for space in (False, True):
-                    c, o, _ = pair(coda, onset, vowel, space)
+                    c, o, _ = pair(coda, onset, vowel, space, word)
                     out.append(chr(48 + t.CODAS.index(c)) + chr(48 + (t.ONSETS.index(o) if o else NONE)))
     return "".join(out)
 
@@ -96,11 +109,69 @@ _IEUNG, _NIEUN = t.ONSETS.index("ㅇ"), t.ONSETS.index("ㄴ")
 _AFFRICATES = [t.ONSETS.index(o) for o in "ㅈㅉㅊ"]
 
 
-def pronounce(text: Column) -> Column:
-    """Standard pronunciation of a text; other characters than syllables are walls."""
-    units = F.regexp_extract_all(text, F.lit("[가-힣] *|(?s:.)"), F.lit(0))
+#: What a token says of the code points at its ends.
+_ENDING, _STEM, _MODIFIER, _PARTICLE = 1, 2, 4, 8
+_E = t.VOWELS.index("ㅔ")
+
+
+def fits(text: Column, tokens: Column) -> Column:
+    """Whether tokens (form, tag, start, end) are in order, apart and as the text has them."""
+
+    def one(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(tokens, i - 1)["end"]).otherwise(0)
+        same = F.substring(text, x["start"] + 1, x["end"] - x["start"]) == x["form"]
+        return F.coalesce((x["start"] >= before) & (x["start"] < x["end"]) & (x["end"] <= F.length(text)) & (x["tag"] != "") & same, F.lit(False))
+
+    return F.coalesce(F.forall(F.transform(tokens, one), lambda ok: ok), F.lit(False))
+
+
+def _flags(text: Column, tokens: Column) -> Column:
+    """One character for each of the text's: the sum of what tokens say of it, from '0' on."""
+
+    def is_a(x: Column, prefix: str) -> Column:
+        return F.exists(F.split(x["tag"], "[+]"), lambda part: F.startswith(part, F.lit(prefix)))
+
+    def bit(yes: Column, value: int) -> Column:
+        return F.when(yes, value).otherwise(0)
+
+    def sign(value: Column) -> Column:
+        return F.substring(F.lit("0123456789:;<=>?"), value + 1, F.lit(1))
+
+    def piece(x: Column, i: Column) -> Column:
+        gap = x["start"] - F.when(i > 0, F.get(tokens, i - 1)["end"]).otherwise(0)
+        n = x["end"] - x["start"]
+        first, last = bit(is_a(x, "E"), _ENDING), bit(is_a(x, "V"), _STEM) + bit(is_a(x, "ETM"), _MODIFIER)
+        signs = F.when(n == 1, sign(first + last + bit(is_a(x, "J"), _PARTICLE))).otherwise(F.concat(sign(first), F.repeat(F.lit("0"), n - 2), sign(last)))
+        return F.concat(F.repeat(F.lit("0"), gap), signs)
+
+    return F.rpad(F.array_join(F.transform(tokens, piece), ""), F.length(text), "0")
+
+
+def pronounce(text: Column, tokens: Column | None = None) -> Column:
+    """Standard pronunciation of a text; other characters than syllables are walls.
+
+    ``tokens``: an analyzer's array of (form, tag, start, end) in code points of the
+    text, end exclusive. If null or at odds with the text it counts as missing.
+    """
+    if tokens is None:
+        return _pronounced(F.regexp_extract_all(text, F.lit("[가-힣] *|(?s:.)"), F.lit(0)))
+
+    def marked(x: Column) -> Column:
+        pairs = F.zip_with(F.split(x["text"], ""), F.split(_flags(x["text"], x["tokens"]), ""), lambda c, f: F.concat(f, c))
+        return _pronounced(F.regexp_extract_all(F.array_join(pairs, ""), F.lit("[0-?][가-힣](?:[0-?] )*|[0-?](?s:.)"), F.lit(0)), marked=True)
+
+    given = F.get(F.transform(F.array(F.struct(text.alias("text"), tokens.alias("tokens"))), marked), F.lit(0))
+    return F.when(fits(text, tokens) & (text != ""), given).otherwise(pronounce(text))
+
+
+def _pronounced(units: Column, marked: bool = False) -> Column:
+    """Units are a syllable with the blanks behind it, or another character; marked ones
+    have a flag in front of each character."""
 
     def syllable(u: Column, i: Column) -> Column:
+        flag = F.ascii(u) - 48 if marked else F.lit(0)
+        if marked:
+            u = F.concat(F.substring(u, 2, 1), F.repeat(F.lit(" "), F.floor(F.length(u) / 2).cast("int") - 1))
         at = F.ascii(u) - 0xAC00
         own = F.substring(u, 1, 1).between("가", "힣")
         onset, vowel, coda = F.floor(at / 588), F.floor(F.pmod(at, F.lit(588)) / 28), F.pmod(at, F.lit(28))
@@ -112,6 +183,7 @@ def pronounce(text: Column) -> Column:
             F.endswith(u, F.lit(" ")).alias("s"),
             u.alias("u"),
             F.substring(u, 1, 1).alias("x"),
+            flag.alias("f"),
         )
 
     first = F.transform(units, syllable)
@@ -126,6 +198,10 @@ def pronounce(text: Column) -> Column:
             # a wall behind blanks ends the run like the end of the text
             at = ((a["c"] * (NONE + 1) + onset) * 3 + kind) * 2 + F.when(a["s"] & b["o"].isNotNull(), 1).otherwise(0)
             code = F.substring(F.lit(table()), at * 2 + 1, F.lit(2))
+            if marked:
+                stem = ~a["s"] & (a["f"].bitwiseAND(_STEM) > 0) & (b["f"].bitwiseAND(_ENDING) > 0)
+                tensed = F.coalesce(stem | (a["s"] & (a["f"].bitwiseAND(_MODIFIER) > 0)), F.lit(False))
+                code = F.substring(F.when(tensed, table(TENSED)).otherwise(table(FREE)), at * 2 + 1, F.lit(2))
             word = F.concat(a["x"], F.coalesce(b["x"], F.lit("")), F.coalesce(after["x"], F.lit("")))
             trample = (a["x"] == "밟") & ~(~a["s"] & (F.coalesce(b["o"], F.lit(NONE)) == _IEUNG))
             wide = ~a["s"] & (F.startswith(word, F.lit("넓죽")) | ((word == "넓둥글") & ~b["s"]))
@@ -143,7 +219,12 @@ def pronounce(text: Column) -> Column:
                 onset = F.when(before < NONE, before).otherwise(a["o"])
                 coda = F.coalesce(F.get(z["p"], i)["c"], a["c"])
                 blanks = F.substring(a["u"], 2, 10_000)
-                return F.when(a["o"].isNull(), a["u"]).otherwise(F.concat(compose(onset, a["v"], coda), blanks))
+                vowel = a["v"]
+                if marked:
+                    last = F.when(i > 0, F.get(z["s"], i - 1))
+                    particle = (a["x"] == "의") & (a["f"].bitwiseAND(_PARTICLE) > 0) & last["o"].isNotNull() & ~last["s"]
+                    vowel = F.when(particle, _E).otherwise(vowel)
+                return F.when(a["o"].isNull(), a["u"]).otherwise(F.concat(compose(onset, vowel, coda), blanks))
 
             return F.array_join(F.transform(z["s"], each), "")
 

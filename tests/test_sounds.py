@@ -47,6 +47,41 @@ def test_table_covers_every_pair():
     assert phonology.pair("ㄱ", "ㅁ", "ㅏ", True) == ("ㅇ", "ㅁ", ["ko.nasalization"])
 
 
+#: text, tokens as form/tag/start, pronunciation with them.
+ANALYZED = [
+    ("우리의", "우리/NP/0 의/JKG/2", "우리에"),
+    ("우리 의", "우리/NP/0 의/JKG/3", "우리 의"),
+    ("의의", "의의/NNG/0", "의의"),
+    ("맑게", "맑/VA/0 게/EC/1", "말께"),
+    ("닭과", "닭/NNG/0 과/JC/1", "닥꽈"),
+    ("신고", "신/VV/0 고/EC/1", "신꼬"),
+    ("신고", "신고/NNG/0", "신고"),
+    ("앉고", "앉/VV/0 고/EC/1", "안꼬"),
+    ("닮지", "닮/VV/0 지/EC/1", "담찌"),
+    ("넓게", "넓/VA/0 게/EC/1", "널께"),
+    ("핥다", "핥/VV/0 다/EF/1", "할따"),
+    ("할  것을", "할/VX+ETM/0 것/NNB/3 을/JKO/4", "할  꺼슬"),
+    ("쌀 밥", "쌀/NNG/0 밥/NNG/2", "쌀 밥"),
+    ("a1 맑게,", "맑/VA/3 게/EC/4", "a1 말께,"),
+    ("밟다", "밟/VV/0 다/EF/1", "밟다"),
+    ("맑게", "맑게/VA/0 게/EC/1", "맑게"),  # tokens overlap
+    ("맑게", "말/VA/0 게/EC/1", "맑게"),  # not the text's
+    ("맑게", None, "맑게"),
+    ("국물", "", "궁물"),
+    ("", "", ""),
+    (None, "", None),
+]
+
+
+def test_analyzed(spark):
+    def parse(x):
+        return None if x is None else [(f, tag, int(at), int(at) + len(f)) for f, tag, at in (y.split("/") for y in x.split())]
+
+    rows = spark.createDataFrame([(i, a, parse(b)) for i, (a, b, _) in enumerate(ANALYZED)], "i int, x string, k array<struct<form:string,tag:string,start:int,end:int>>")
+    got = {r.i: r.y for r in rows.select("i", phonology.pronounce(F.col("x"), F.col("k")).alias("y")).collect()}
+    assert [got[i] for i in range(len(ANALYZED))] == [c for _, _, c in ANALYZED]
+
+
 def test_g2p(spark):
     texts = ["16%", "26개", "L는", "010-1234-5678", "https://a.b/국물 국물"]
     got = run(spark, texts, g2p)
