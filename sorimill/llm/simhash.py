@@ -6,10 +6,14 @@ the 20 keys made of three blocks. Equal fingerprints are first merged into one
 class, so groups of exact copies of any size cost one row. Classes meet by key;
 within a key the Hamming distance is verified and each class is linked to the
 smallest one of its part of the group. Keys of more than ``GROUP`` classes are
-found first, by counting, and not compared as they stand: their remaining bits
-are split in the same way again. Since the key's own bits are equal, any close
-pair in it shares one of the finer keys. After the third level at most 10 bits
-remain, so groups are bounded and no pair is lost.
+found first, by counting, and compared in random parts of that size. Components of
+these links show which classes need no comparison with one another any more: in a
+dense group all but a few have one root. If the others are at most ``GROUP``, they
+are compared with every part, which grows linearly with the group. If they are
+more, the key's remaining bits are split in the same way again. Since the key's own
+bits are equal, any close pair in it shares one of the finer keys. After the third
+level at most 10 bits remain, and parts meet by chunks, so tasks are bounded and no
+pair is lost.
 
 Links are then joined to components by alternating large and small stars over
 written tables; nothing of the corpus is gathered on the driver.
@@ -57,7 +61,7 @@ WIDE = 8
 WIDE_BITS = 88
 #: Of a part of a group, so many are compared with all others at a time by these.
 WIDE_ROWS = 32
-#: Classes that are compared within a key, at most.
+#: Classes of a key that are compared in one piece, at most.
 GROUP = 8192
 #: Of these, so many are compared with all others at a time.
 ROWS = 256
@@ -202,21 +206,64 @@ def _linked(keyed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "u long, v long")
 
 
-def _by_key(rows: DataFrame, linked, blocks: int, bits: int) -> DataFrame:
-    """``linked`` of the keyed rows (mask, fp, ...), keys of over GROUP rows split again."""
-    parts, free = [], 64
+def _parted(hot: DataFrame, spread: DataFrame | None = None) -> DataFrame:
+    """Rows of keys of ``n`` rows with a key for each part of about GROUP of them.
+
+    With ``spread``, (key, top, m): the ``m`` rows of other labels than ``top`` are
+    also cut into chunks, and every part meets every chunk.
+    """
+    own = [c for c in hot.columns if c not in ("n", "label")]
+    seed = [F.col(c) for c in own if c in ("key", "fp", "node")]
+    hot = hot.withColumn("__part", F.pmod(F.xxhash64(*seed), F.ceil(F.col("n") / GROUP)))
+    if spread is None:
+        return hot.withColumn("key", F.xxhash64("key", "__part")).select(*own)
+    hot = hot.join(small(spread), "key").withColumn("__chunks", F.ceil(F.col("m") / GROUP))
+    hot = hot.withColumn("__chunk", F.pmod(F.xxhash64(*seed, F.lit(1)), F.col("__chunks")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    met = F.transform(upto(F.col("__chunks")), lambda c: F.struct(c.alias("chunk"), F.col("__part").alias("part")))
+    others = F.filter(upto(F.ceil(F.col("n") / GROUP)), lambda p: p != F.col("__part"))
+    met = F.when(F.col("label") == F.col("top"), met).otherwise(F.concat(met, F.transform(others, lambda p: F.struct(F.col("__chunk").alias("chunk"), p.alias("part")))))
+    return hot.withColumn("__at", F.explode(met)).withColumn("key", F.xxhash64("key", "__at.chunk", "__at.part")).select(*own)
+
+
+def _by_key(rows: DataFrame, linked, blocks: int, bits: int, node: str = "fp", settled=None) -> DataFrame:
+    """``linked`` of the keyed rows (mask, fp, ...).
+
+    Keys of over GROUP rows are compared in parts first. By ``settled``, what was
+    found gives (node, root), and rows of one root need no comparison any more. If a
+    key has at most GROUP rows beside those of its largest root, these meet every
+    part; else its rows go on with finer keys, at the last level by chunks.
+    """
+    settled = settled or components
+    found, hot_found, free = [], None, 64
     while True:
         keyed = _keyed(rows, blocks, bits)
         free -= free // blocks * (blocks - bits)
-        hot = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key")) if free >= 2 * blocks else None
-        if hot is None or hot.isEmpty():
-            parts.append(linked(keyed))
+        counts = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
+        if counts.isEmpty():
+            found.append(linked(keyed))
+            break
+        found.append(linked(keyed.join(small(counts.select("key")), "key", "left_anti")))
+        hot = cut(keyed.join(small(counts), "key"))
+        here = cut(linked(_parted(hot)).distinct())
+        found.append(here)
+        hot_found = here if hot_found is None else hot_found.unionByName(here).distinct()
+        roots = cut(settled(hot_found).select(F.col("node").alias("__node"), F.col("root").cast("string").alias("__root")))
+        label = F.coalesce("__root", F.col(node).cast("string")).alias("label")
+        hot = hot.join(small(roots), F.col(node) == F.col("__node"), "left").select(*hot.columns, label)
+        sizes = hot.groupBy("key", "label").agg(F.count("*").alias("c"))
+        sizes = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), (F.sum("c") - F.max("c")).alias("m"))
+        sizes = cut(sizes.where("m > 0"))
+        last = free < 2 * blocks
+        few = sizes if last else sizes.where(F.col("m") <= GROUP)
+        found.append(linked(_parted(hot, few)))
+        many = sizes.select("key").subtract(few.select("key"))
+        if last or many.isEmpty():
             break
-        parts.append(linked(keyed.join(small(hot), "key", "left_anti")))
-        rows = cut(keyed.join(small(hot), "key", "left_semi").drop("key"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        rows = cut(hot.join(small(many), "key", "left_semi").drop("key", "n", "label"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
     return cut(out.distinct())
 
 
@@ -299,7 +346,8 @@ def similar_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     mask = F.lit(0).cast("long").alias("mask")
     spots = cut(prints.groupBy(F.col("pairs_print").alias("fp"), F.col("fingerprint").alias("node")).agg(F.min("text_hash").alias("text_hash")))
     fps = cut(spots.groupBy("fp").agg(F.count("*").alias("n")))
-    near = _by_key(fps.select(mask, "fp"), _with_neighbours, NEAR_BLOCKS, NEAR_BITS)
+    seen = lambda found: found.select(F.col("fp").alias("node"), F.lit("seen").alias("root"))
+    near = _by_key(fps.select(mask, "fp"), _with_neighbours, NEAR_BLOCKS, NEAR_BITS, settled=seen)
     near = cut(near.unionByName(fps.where("n > 1").select("fp")).distinct())
     near = cut(spots.join(small(near), "fp").select(mask, "fp", "node", "text_hash"))
 
@@ -309,7 +357,7 @@ def similar_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.join(small(near.select("text_hash").distinct()), "text_hash", "left_semi")
     wide = append_columns(texts, ["text"], [T.StructField("wide", T.BinaryType(), False)], make, ["text_hash"])
     wide = wide.groupBy("text_hash").agg(F.min("wide").alias("wide"))  # repeated texts have it once
-    return _by_key(cut(near.join(wide, "text_hash").select("mask", "fp", "node", "wide")), _similar, NEAR_BLOCKS, NEAR_BITS)
+    return _by_key(cut(near.join(wide, "text_hash").select("mask", "fp", "node", "wide")), _similar, NEAR_BLOCKS, NEAR_BITS, "node")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -95,6 +95,19 @@ def test_similar_texts_are_found(spark):
     assert {2 * k for k in range(300)} <= kept
 
 
+@pytest.mark.parametrize("group", [300, 40])
+def test_dense_groups_of_similar_texts(spark, monkeypatch, group):
+    """Edits of two texts, far more than a key may hold: sure links are all kept, others stay within the limits."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng, rows = random.Random(group), []
+    for k in range(2):
+        text = words(k, 300)
+        rows += [(len(rows) + i, edited(rng, text, rng.choice([4, 8, 40]))) for i in range(400)]
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows)).collect()}
+    assert brute_similar(rows, simhash.NEAR_MOST) <= kept <= brute_similar(rows, simhash.NEAR_BITS)
+    assert 2 <= len(kept) < 700
+
+
 def run(df):
     return sorted(((r.doc_id, r.fingerprint % (1 << 64), r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
 
