@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import hangul, phonology
 from ..functions import numbers as num
 from ..functions import tables as t
+from ..functions.composed import nfc_mapped, source_span
 from ..operators.g2p import g2p
 from ..operators.normalize import convert, normalize, tokens
 
@@ -253,6 +254,23 @@ FROM events GROUP BY ALL
 """
 
 
+def compose_jamo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syllables spelled in conjoining letters, composed, and where they stand in the source."""
+    k = F.pmod("p_partkey", F.lit(11172)).cast("int")
+    parts = (0x1100, 19, F.floor(k / 588)), (0x1161, 21, F.floor(F.pmod(k, F.lit(588)) / 28)), (0x11A7, 28, F.pmod(k, F.lit(28)))
+    lead, vowel, tail = (F.substring(F.lit("".join(map(chr, range(first, first + n)))), at.cast("int") + 1, F.lit(1)) for first, n, at in parts)
+    written = F.concat(F.lit("a"), lead, vowel, F.when(F.pmod(k, F.lit(28)) > 0, tail).otherwise(""), F.lit("b"))
+    p = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), nfc_mapped(written).alias("m"))
+    return p.select("k", "m.text", source_span(F.col("m"), F.lit(1), F.lit(2))["end"].alias("span_end"), F.size("m.rewrites").alias("n_rewrites"))
+
+
+_JAMO_SQL = """
+SELECT p_partkey AS k, 'a' || chr(CAST(44032 + p_partkey % 11172 AS INT)) || 'b' AS text,
+  CAST(CASE WHEN p_partkey % 11172 % 28 > 0 THEN 4 ELSE 3 END AS INT) AS span_end, CAST(1 AS INT) AS n_rewrites
+FROM part
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict = {name: _spoken_query(name) for name in _SPOKEN}
     found |= {
@@ -269,6 +287,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pho_pairs": pair_table,
         "g2p_counters": g2p_percent,
         "events_by_hour": events_by_hour,
+        "uni_nfc_map": compose_jamo,
     }
     return found
 
@@ -288,4 +307,5 @@ def oracle_sql() -> dict[str, str]:
         "ren_letters": _SPELL_SQL,
         "pho_pairs": _PAIR_SQL,
         "events_by_hour": _HOUR_SQL,
+        "uni_nfc_map": _JAMO_SQL,
     }
