@@ -29,6 +29,14 @@ multisets have a cosine of 8/9, so 77.5 of 512 bits are expected to differ, with
 a deviation of 8; the limit lies one and a third deviations above. Links are thus
 sure for almost equal texts and likely from 0.8 on, not exact there.
 
+With ``exact``, as in the pipeline, links are the pairs of texts whose sets of
+SHINGLE words have a Jaccard similarity of 0.8 or more. Candidates share one of
+``BANDS`` keys of ``BAND`` MinHash values each. That depends on the similarity
+alone, not on where the edits are: a pair at 0.8 is missed with a probability of
+(1 - 0.8 ** 4) ** 24, 3 in a million. Each is then verified on the hashed sets.
+Candidates meet the smallest text of their key first; afterwards all pairs of a key
+that components hold apart are compared, whatever the key's size.
+
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any
 other; null ids are smaller than none (a component's id is its smallest non-null
 id, null if it has none); rows that repeat an id are one document each; an empty
@@ -61,6 +69,9 @@ WIDE = 8
 WIDE_BITS = 88
 #: Of a part of a group, so many are compared with all others at a time by these.
 WIDE_ROWS = 32
+#: Keys of BAND MinHash values that a text has for exact links.
+BANDS = 24
+BAND = 4
 #: Classes of a key that are compared in one piece, at most.
 GROUP = 8192
 #: Of these, so many are compared with all others at a time.
@@ -114,6 +125,39 @@ def wide_fingerprint(text: bytes) -> bytes:
     return _majority(text, SHINGLE, WIDE)
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the runs of SHINGLE words; a shorter text is one run."""
+    words = text.lower().split()
+    size = min(len(words), SHINGLE)
+    n = len(words) - size + 1 if words else 0
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    x = np.full(n, size, np.uint64)
+    for k in range(size):
+        x = (x ^ h[k : k + n]) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return np.unique(x)
+
+
+_TURNS = np.random.default_rng(42).integers(0, 1 << 32, (3, BANDS * BAND), np.uint64)
+_TIMES, _PLUS = (_TURNS[0] | np.uint64(1)).astype(np.uint32), _TURNS[1].astype(np.uint32)
+_JOIN = _TURNS[0].reshape(BANDS, BAND) << np.uint64(32) | _TURNS[2].reshape(BANDS, BAND) | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingles, none of an empty one."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    low = np.full(BANDS * BAND, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 1024):
+        np.minimum(low, (x[at : at + 1024, None] * _TIMES + _PLUS).min(axis=0), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part, by in zip(low.reshape(BANDS, BAND).T.astype(np.uint64), _JOIN.T):
+        key = (key ^ part) * by
+        key ^= key >> np.uint64(32)
+    return (key * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
 def add_fingerprint(df: DataFrame, text: str = "text", shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Add the column ``fingerprint`` (a signed long)."""
 
@@ -360,6 +404,47 @@ def similar_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     return _by_key(cut(near.join(wide, "text_hash").select("mask", "fp", "node", "wide")), _similar, NEAR_BLOCKS, NEAR_BITS, "node")
 
 
+def exact_links(prints: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(u, v): links among fingerprints of texts of a Jaccard similarity of 0.8 or more, beside ``edges``.
+
+    ``prints`` has text_hash, fingerprint and bands; ``docs`` has text_hash and text.
+    With ``edges`` they span the components of all such pairs.
+    """
+    texts = prints.select("text_hash", "fingerprint", "bands").dropDuplicates(["text_hash"])
+    rows = cut(texts.select("text_hash", F.col("fingerprint").alias("fp"), F.explode("bands").alias("key")))
+    counts = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("text_hash", "fp")).alias("first")).where("n > 1"))
+    rows = cut(rows.join(small(counts), "key"))
+
+    def make():
+        return lambda column: [pa.array([shingle_set(t).view(np.int64) for t in as_bytes(column)], pa.list_(pa.int64()))]
+
+    met = cut(rows.select("text_hash").distinct())
+    sets = append_columns(docs.join(small(met), "text_hash", "left_semi"), ["text"], [T.StructField("shingles", T.ArrayType(T.LongType()), False)], make, ["text_hash"])
+    sets = cut(sets.dropDuplicates(["text_hash"]))
+    sizes = cut(sets.select("text_hash", F.size("shingles").alias("size")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of (a, u, b, v), texts and fingerprints, those that are similar."""
+        one, two = (sets.select(F.col("text_hash").alias(x), F.col("shingles").alias(f"{x}s")) for x in "ab")
+        both = cut(pairs.distinct()).join(one, "a").join(two, "b")
+        both = both.withColumn("common", F.size(F.array_intersect("as", "bs")))
+        return cut(both.where(9 * F.col("common") >= 4 * (F.size("as") + F.size("bs"))).select("u", "v").distinct())
+
+    first = rows.where("first.text_hash <> text_hash and first.fp <> fp")
+    stars = verified(first.select(F.col("first.text_hash").alias("a"), F.col("first.fp").alias("u"), F.col("text_hash").alias("b"), F.col("fp").alias("v")))
+    roots = cut(components(edges.unionByName(stars)))
+    apart = rows.join(small(roots), F.col("fp") == F.col("node"), "left").select("key", "text_hash", "fp", "n", F.coalesce("root", "fp").alias("label"))
+    mixed = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    apart = cut(apart.join(small(cut(mixed)), "key", "left_semi").join(small(sizes), "text_hash"))
+    parts = F.ceil(F.col("n") / GROUP)  # a row of one side meets every part of the other
+    x = apart.withColumn("part", F.pmod(F.xxhash64("text_hash"), parts)).alias("x")
+    y = apart.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") < F.col("y.label"))
+    even = (5 * F.col("x.size") >= 4 * F.col("y.size")) & (5 * F.col("y.size") >= 4 * F.col("x.size"))
+    pairs = x.join(y, same & even).select(F.col("x.text_hash").alias("a"), F.col("x.fp").alias("u"), F.col("y.text_hash").alias("b"), F.col("y.fp").alias("v"))
+    return cut(stars.unionByName(verified(pairs)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v); root is the smallest of its component."""
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -384,10 +469,20 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _named(docs: DataFrame, doc_id: str, text: str, shingle: int, similar: bool = False) -> tuple[DataFrame, DataFrame]:
+def _named(docs: DataFrame, doc_id: str, text: str, shingle: int, similar: bool = False, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Written tables: (doc_id, text_hash, fingerprint) of the documents, (fp, root) of their classes."""
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
-    if similar:
+    if exact:
+        fields = [FINGERPRINT, T.StructField("bands", T.ArrayType(T.LongType()), False)]
+
+        def make():
+            return lambda column: [
+                pa.array([fingerprint(t, shingle) for t in as_bytes(column)], pa.int64()),
+                pa.array([band_keys(shingle_set(t)) for t in as_bytes(column)], pa.list_(pa.int64())),
+            ]
+
+        prints = cut(append_columns(ids, ["text"], fields, make, ["doc_id", "text_hash"]))
+    elif similar:
         fields = [FINGERPRINT, T.StructField("pairs_print", T.LongType(), False)]
 
         def make():
@@ -401,7 +496,9 @@ def _named(docs: DataFrame, doc_id: str, text: str, shingle: int, similar: bool
         prints = cut(add_fingerprint(ids, "text", shingle, ["doc_id", "text_hash"]))
     classes = cut(prints.select(F.col("fingerprint").alias("fp")).distinct())
     edges = links(classes)
-    if similar:
+    if exact:
+        edges = edges.unionByName(exact_links(prints, ids.select("text_hash", "text"), edges))
+    elif similar:
         edges = edges.unionByName(similar_links(prints, ids.select("text_hash", "text")))
     roots = components(edges)
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -417,15 +514,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, exact: bool = False) -> DataFrame:
     """One document of each component, that with the smallest id, with all its columns.
 
-    Links are those of the fingerprints and those of similar five-word shingles.
+    Links are those of the fingerprints and those of similar five-word shingles,
+    by their fingerprints or, with ``exact``, by their Jaccard similarity.
     A document of null id stays only if its component has no other; of rows
     that repeat the kept id and text, one stays. Whole documents are only
     moved if those that go are too many to broadcast, or for repeated rows.
     """
-    prints, named = _named(docs, doc_id, text, shingle, similar=True)
+    prints, named = _named(docs, doc_id, text, shingle, similar=not exact, exact=exact)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     by_print = prints.groupBy(F.col("fingerprint").alias("fp")).agg(best.alias("best"))
     by_root = by_print.join(named, "fp").groupBy("root").agg(F.min("best").alias("best"))

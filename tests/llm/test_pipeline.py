@@ -1,9 +1,13 @@
+from collections import Counter
+
+import numpy as np
+
 import corpus_pipeline
 from sorimill.llm import decontam, quality, simhash
 from tests.llm.data import documents
 from tests.llm.test_decontam import brute as leaks
 from tests.llm.test_lines import brute as lines
-from tests.llm.test_simhash import brute_similar
+from tests.llm.test_simhash import brute_print, brute_similar, shingles
 
 
 def test_stages_against_brute_force(spark):
@@ -51,3 +55,30 @@ def test_bench_share_is_a_parameter(spark):
     docs = documents(spark, [(1, "a b c d e f g h i j k")])
     assert decontam.find_leaks(docs, bench).count() == 0
     assert decontam.find_leaks(docs, bench, share=0.3).count() == 1
+
+
+def test_near_stage_by_true_similarity(spark):
+    """Of documents linked by three-word fingerprints or a true similarity of 0.8, one stays."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, folder).collect()}
+    prints, sets = np.array([brute_print(t or "") for _, t in rows], np.uint64), [shingles(t) for _, t in rows]
+    root, holders = list(range(len(rows))), {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        common = Counter(j for x in sets[i] for j in holders.get(x, ()))
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+        like = [j for j, n in common.items() if n >= 0.8 * len(sets[i] | sets[j])]
+        for j in like + np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= 3).tolist():
+            root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    assert kept == set(least.values()) and 709 in kept and 944 not in kept

@@ -174,3 +174,59 @@ def test_edges(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("2", ""), ("5", "one two"), ("None", "alone here"), ("7", "w v u " * 100_000), ("8", "É a b"), ("1", "é a b")])
+
+
+def likeness(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_blocks_are_found_by_true_similarity(spark):
+    """Appended, cut, swapped and scattered edits: a copy goes if and only if its Jaccard similarity is 0.8 or more."""
+    rng, rows = random.Random(11), []
+    for k in range(240):
+        w = words(k, rng.randint(150, 600)).split()
+        n = round(len(w) * rng.choice([0.08, 0.1, 0.15, 0.19, 0.22, 0.27]))
+        at = rng.randrange(len(w) - n)
+        new = words(10_000 + k, n).split()
+        shape = k % 4
+        if shape == 0:
+            other = w + new
+        elif shape == 1:
+            other = w[:at] + w[at + n :]
+        elif shape == 2:
+            other = w[:at] + new[: n // 2] + w[at + n // 2 :]
+        else:
+            other = edited(rng, " ".join(w), max(1, n // 8)).split()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows), exact=True).collect()}
+    three = {d: brute_print(t) for d, t in rows}
+    like = {2 * k + 1: likeness(rows[2 * k][1], rows[2 * k + 1][1]) for k in range(240)}
+    gone = {d for d, x in like.items() if x >= 0.8 or (three[d] ^ three[d - 1]).bit_count() <= 3}
+    assert kept == {d for d, _ in rows} - gone
+    assert sum(0.8 <= x < 0.9 for x in like.values()) > 50 and sum(0.6 < x < 0.8 for x in like.values()) > 40
+
+
+@pytest.mark.parametrize("group", [8192, 20])
+def test_exact_links_do_not_depend_on_group_size(spark, monkeypatch, group):
+    """Dense keys give the components of true similarity, whatever GROUP is."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng, rows = random.Random(5), []
+    for k in range(2):
+        text = words(k, 200)
+        rows += [(len(rows) + i, edited(rng, text, rng.choice([1, 2, 3, 5]))) for i in range(100)]
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows), exact=True).collect()}
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets, prints = [shingles(t) for _, t in rows], [brute_print(t) for _, t in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert kept == {find(i) for i in range(len(rows))}
