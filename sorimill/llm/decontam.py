@@ -1,13 +1,15 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
-Texts become word templates: lower case, punctuation dropped, and typed
-placeholders for numbers, units behind a number, and names (capitalised words
-inside a sentence). Windows of ``window`` template words are hashed and joined
-with those of the benchmark items. A window without placeholders is a copy. One
-with placeholders counts only if, along its alignment (the same offset between
+Texts become words in lower case without punctuation, read in three ways: as they
+are; as templates with typed placeholders for numbers, units behind a number, and
+names (capitalised words inside a sentence); and as templates where every
+capitalised word is a placeholder, as a name may open a sentence. Windows of
+``window`` words of each reading are hashed and joined with those of the benchmark
+items. A window equal as it is is a copy, whatever its case and punctuation. One
+equal as a template counts only if, along its alignment (the same offset between
 document and item), every value of the item is replaced by one value
 throughout: a re-parameterised question. An item is found in a document when at
-least ``share`` of its windows, or ``run`` of them, are.
+least ``share`` of its windows, or ``run`` of them, are, in any reading.
 
 Only the windows' hashes are exploded; the words at the placeholders are looked
 up again for the few windows that joined. The benchmark's windows are broadcast
@@ -15,8 +17,8 @@ if their number is below the checked limit, else the join shuffles.
 
 Defined cases: null and empty texts have no windows, on either side; an item of
 fewer words than ``window`` is one window of its own length; a window with
-fewer than ``literals`` plain words (all, for an item that short) identifies
-nothing and doesn't count; null ids stay null; rows that repeat an id and text
+fewer than ``literals`` plain words (all, for an item that short) counts only as
+a copy, with its own values; null ids stay null; rows that repeat an id and text
 are one document, rows that repeat only an id are reported under it each; an
 empty table on either side gives no rows.
 """
@@ -35,45 +37,54 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degree degrees mph kmh watt watts volt volts byte bytes mb gb"
 ).split()
 
-NAME = "\u0001"
+#: Marks in front of a capitalised word: inside a sentence; anywhere else, where it may be a name.
+NAME, MAYBE = "\u0001", "\u0002"
 
 
 def _tokens(text: Column) -> Column:
-    """Words in lower case; a name has NAME in front."""
-    t = F.regexp_replace(text, "\u0001", " ")
+    """Words in lower case; a name has NAME in front, another capitalised word MAYBE."""
+    t = F.regexp_replace(text, "[\u0001\u0002]", " ")
     t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu}\p{Ll})", NAME)
+    t = F.regexp_replace(t, r"(?<![^\x00\x02-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=\p{Lu}\p{Ll})", MAYBE)
     t = F.lower(t)
     t = F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "")
     t = F.regexp_replace(t, r"(?<=[0-9])(?=[a-z])", " ")
-    return F.filter(F.split(t, r"[\x00\x02-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    return F.filter(F.split(t, r"[\x00\x03-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
 def _is_number(w: Column) -> Column:
     return (w >= "0") & (w < ":")
 
 
-def _slots(tokens: Column) -> Column:
+def _slots(marked: Column, words: Column) -> Column:
     """For each token its placeholder, or null for a plain word."""
     return F.transform(
-        tokens,
+        marked,
         lambda w, i: F.when(_is_number(w), F.lit("<num>"))
         .when(F.startswith(w, F.lit(NAME)), F.lit("<name>"))
-        .when(w.isin(UNITS) & (i > 0) & _is_number(F.get(tokens, i - 1)), F.lit("<unit>")),
+        .when(F.get(words, i).isin(UNITS) & (i > 0) & _is_number(F.get(words, i - 1)), F.lit("<unit>")),
     )
 
 
 def _templates(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """keys, tokens, slots and h: the hash of each template word."""
-    df = df.select(*keys, _tokens(F.col(text)).alias("tokens"))
-    df = df.select(*keys, "tokens", _slots(F.col("tokens")).alias("slots"))
-    return df.select("*", F.zip_with("tokens", "slots", lambda w, s: F.xxhash64(F.coalesce(s, w))).alias("h"))
-
-
-def _windows(size: int) -> Column:
-    """Hashes of the windows of ``size`` words of h, in order."""
-    n = F.size("h")
+    """keys, tokens, and for each reading its slots and h: the hash of each word.
+
+    Reading 0 has no slots, 1 has them for names inside sentences, 2 for every capitalised word.
+    """
+    df = df.select(*keys, _tokens(F.col(text)).alias("marked"))
+    df = df.select(*keys, "marked", F.transform("marked", lambda w: F.translate(w, NAME + MAYBE, "")).alias("tokens"))
+    df = df.select(*keys, "marked", "tokens", _slots(F.col("marked"), F.col("tokens")).alias("slots1"))
+    any_name = F.zip_with("marked", "slots1", lambda w, s: F.when(F.startswith(w, F.lit(MAYBE)), F.lit("<name>")).otherwise(s))
+    df = df.select(*keys, "tokens", "slots1", any_name.alias("slots2"), F.transform("tokens", lambda w: F.xxhash64(w)).alias("h0"))
+    slotted = [F.zip_with("h0", f"slots{r}", lambda h, s: F.when(s.isNull(), h).otherwise(F.xxhash64(s))).alias(f"h{r}") for r in (1, 2)]
+    return df.select("*", *slotted)
+
+
+def _windows(h: str, size: int) -> Column:
+    """Hashes of the windows of ``size`` words of ``h``, in order."""
+    n = F.size(h)
     return F.when(
-        n >= size, F.transform(F.sequence(F.lit(1), n - F.lit(size - 1)), lambda i: F.xxhash64(F.lit(size), F.slice("h", i, F.lit(size))))
+        n >= size, F.transform(F.sequence(F.lit(1), n - F.lit(size - 1)), lambda i: F.xxhash64(F.lit(size), F.slice(h, i, F.lit(size))))
     )
 
 
@@ -93,65 +104,73 @@ def find_leaks(
     """(doc_id, text_hash, item_id, windows, found, score) of each item found in a document."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = bench.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
-    items = _templates(items, "text", ["item_id"]).where(F.size("h") > 0)
+    items = _templates(items, "text", ["item_id"]).where(F.size("h0") > 0)
     # at most ``window`` rows: the lengths of windows that occur
-    sizes = [r[0] for r in items.select(F.least(F.size("h"), F.lit(window))).distinct().collect()]
+    sizes = [r[0] for r in items.select(F.least(F.size("h0"), F.lit(window))).distinct().collect()]
     parts = None
     for size in sizes:
-        own = items.where(F.least(F.size("h"), F.lit(window)) == size).select("*", F.posexplode(_windows(size)).alias("ipos", "hash"))
-        own = own.select(
-            "item_id",
-            "hash",
-            "ipos",
-            F.lit(size).alias("size"),
-            (F.size("h") - size + 1).alias("windows"),
-            F.slice("slots", F.col("ipos") + 1, F.lit(size)).alias("islots"),
-            F.slice("tokens", F.col("ipos") + 1, F.lit(size)).alias("itokens"),
-        )
-        own = own.where(F.size(F.filter("islots", lambda s: s.isNull())) >= min(size, literals))
-        parts = own if parts is None else parts.unionByName(own)
+        some = items.where(F.least(F.size("h0"), F.lit(window)) == size)
+        for r in range(3):
+            own = some.select("*", F.posexplode(_windows(f"h{r}", size)).alias("ipos", "hash"))
+            at = lambda c: F.slice(c, F.col("ipos") + 1, F.lit(size))
+            own = own.select(
+                "item_id",
+                "hash",
+                "ipos",
+                F.lit(r).alias("reading"),
+                F.lit(size).alias("size"),
+                (F.size("h0") - size + 1).alias("windows"),
+                at(f"slots{max(r, 1)}").alias("islots"),
+                at("tokens").alias("itokens"),
+                *([(at(f"h{r}") != at(f"h{r - 1}")).alias("differs")] if r else []),
+            )
+            if r:  # where a reading has no slots of its own, the one before has the window
+                own = own.where(F.col("differs") & (F.size(F.filter("islots", lambda s: s.isNull())) >= min(size, literals))).drop("differs")
+            parts = own if parts is None else parts.unionByName(own)
     schema = "doc_id long, text_hash long, item_id long, windows long, found long, score double"
     if parts is None:
         return docs.sparkSession.createDataFrame([], schema)
-    parts = cut(parts.withColumn("has_slot", F.exists("islots", lambda s: s.isNotNull())))
+    parts = cut(parts)
 
     keyed = docs.where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
     hashed = _templates(keyed, "text", ["doc_id", "text_hash"])
-    streams = [_windows(size) for size in sizes]
-    rows = [hashed.select("doc_id", "text_hash", F.posexplode(w).alias("pos", "hash")) for w in streams]
-    exploded = rows[0]
-    for more in rows[1:]:
-        exploded = exploded.unionByName(more)
-    probe = parts.select("hash", "item_id", "ipos", "size", "windows", "has_slot")
-    hits = cut(exploded.join(small(probe), "hash").drop("hash").dropDuplicates(["doc_id", "text_hash", "item_id", "pos", "ipos"]))
+    exploded = None
+    for size in sizes:  # readings without slots of their own have the same hash, which is probed once
+        rows = hashed.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(*[_windows(f"h{r}", size).alias(f"w{r}") for r in range(3)])).alias("pos", "w"))
+        rows = rows.select("doc_id", "text_hash", "pos", F.explode(F.array_distinct(F.array("w.w0", "w.w1", "w.w2"))).alias("hash"))
+        exploded = rows if exploded is None else exploded.unionByName(rows)
+    probe = parts.select("hash", "item_id", "ipos", "size", "windows", "reading")
+    hits = cut(exploded.join(small(probe), "hash").drop("hash").dropDuplicates(["doc_id", "text_hash", "item_id", "pos", "ipos", "reading"]))
     hits = hits.withColumn("shift", F.col("pos") - F.col("ipos"))
 
-    good = hits.where(~F.col("has_slot"))
-    slotted = hits.where("has_slot")
+    good = hits.where("reading = 0")
+    slotted = hits.where("reading > 0")
     if not slotted.isEmpty():
         lookup = cut(
-            slotted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "size", "item_id", "ipos", "windows", "shift")).alias("at"))
+            slotted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "size", "item_id", "ipos", "windows", "shift", "reading")).alias("at"))
         )
-        d = hashed.select("doc_id", "text_hash", "tokens", "slots").dropDuplicates(["doc_id", "text_hash"]).alias("d")
+        d = hashed.select("doc_id", "text_hash", "tokens").dropDuplicates(["doc_id", "text_hash"]).alias("d")
         l = small(lookup, 100_000).alias("l")
         same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.text_hash") == F.col("l.text_hash"))
         seen = d.join(l, same).select("d.doc_id", "d.text_hash", "tokens", F.explode("at").alias("a")).select(
             "doc_id", "text_hash", "a.*", F.expr("slice(tokens, a.pos + 1, a.size)").alias("dtokens")
         )
         seen = seen.alias("s").join(
-            small(parts.where("has_slot").select(F.col("item_id").alias("i"), F.col("ipos").alias("p"), "islots", "itokens")),
-            F.col("s.item_id").eqNullSafe(F.col("i")) & (F.col("s.ipos") == F.col("p")),
+            small(parts.where("reading > 0").select(F.col("item_id").alias("i"), F.col("ipos").alias("p"), F.col("reading").alias("r"), "islots", "itokens")),
+            F.col("s.item_id").eqNullSafe(F.col("i")) & (F.col("s.ipos") == F.col("p")) & (F.col("s.reading") == F.col("r")),
         )
         values = F.filter(
             F.zip_with(F.zip_with("itokens", "dtokens", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), "islots", lambda v, s: F.when(s.isNotNull(), v)),
             lambda v: v.isNotNull(),
         )
-        line = ["doc_id", "text_hash", "item_id", "shift"]
+        line = ["doc_id", "text_hash", "item_id", "shift", "reading"]
+        # what the first reading pairs must hold in the second too
+        seen = seen.withColumn("reading", F.explode(F.when(F.col("reading") == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))))
         pairs = seen.select(*line, F.explode(values).alias("v")).groupBy(*line, "v.x").agg((F.min("v.y") != F.max("v.y")).alias("split"))
         sound = pairs.groupBy(*line).agg(F.max("split").alias("split")).where(~F.col("split")).drop("split").alias("k")
         s = slotted.alias("h")
         on = [F.col(f"h.{c}").eqNullSafe(F.col(f"k.{c}")) for c in line]
-        good = good.unionByName(s.join(sound, on[0] & on[1] & on[2] & on[3], "left_semi"))
+        good = good.unionByName(s.join(sound, on[0] & on[1] & on[2] & on[3] & on[4], "left_semi"))
 
     found = good.groupBy("doc_id", "text_hash", "item_id", "windows", "ipos").agg(F.lit(1).alias("one"))
     found = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max("windows").cast("long").alias("windows"), F.count("*").alias("found"))

@@ -83,3 +83,10 @@ def test_tables_against_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()}
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
     assert want and got == want
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Tom buys 3 more at noon. Tom gives 2 to a friend. Tom eats 1 apple. How many apples are left?"
+    other = item.replace("Tom", "Bob").replace("5", "9")
+    torn = item.replace("Tom", "Bob", 2).replace("Tom", "Eve")  # one name, two replacements
+    assert found(spark, [(1, other), (2, torn), (3, "Well. " + other)], [(0, item)]) == {(1, 0), (3, 0)}
