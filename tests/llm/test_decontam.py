@@ -90,3 +90,17 @@ def test_names_that_open_sentences(spark):
     other = item.replace("Tom", "Bob").replace("5", "9")
     torn = item.replace("Tom", "Bob", 2).replace("Tom", "Eve")  # one name, two replacements
     assert found(spark, [(1, other), (2, torn), (3, "Well. " + other)], [(0, item)]) == {(1, 0), (3, 0)}
+
+
+def test_copies_in_other_case_and_punctuation(spark):
+    names = "if you see Anna and Boris at Prague with Clara"
+    text = "The river runs low. Olga waits by the bridge; Peter brings two boats. They leave, and Rita stays behind."
+    docs = [
+        (1, names.replace(" ", "\n")),
+        (2, names.title()),
+        (3, re.sub("[.,;]", "", text)),
+        (4, text.upper()),
+        (5, text.title().replace(" ", "\n")),
+        (6, text.lower()),
+    ]
+    assert found(spark, docs, [(0, names), (1, text)]) == {(1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1)}
