@@ -104,3 +104,14 @@ def test_copies_in_other_case_and_punctuation(spark):
         (6, text.lower()),
     ]
     assert found(spark, docs, [(0, names), (1, text)]) == {(1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1)}
+
+
+def test_items_of_few_plain_words(spark):
+    items = [
+        (0, "What is 12 + 7 * 3 - 4 / 2 ?"),
+        (1, "Compute 3 x 14 + 15 x 92 - 65 x 35 + 89 x 79 = ?"),
+        (2, "Convert 12 km 30 m 5 cm to 7 mm 9 ft"),
+    ]
+    docs = [(i, f"here it says: {t} and so on") for i, t in items]
+    docs += [(i + 10, re.sub("[0-9]+", lambda m: str(int(m.group()) + 1), t)) for i, t in items]  # other values: too little to go by
+    assert found(spark, docs, items) == {(0, 0), (1, 1), (2, 2)}
