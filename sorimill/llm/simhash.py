@@ -270,13 +270,15 @@ def _parted(hot: DataFrame, spread: DataFrame | None = None) -> DataFrame:
     return hot.withColumn("__at", F.explode(met)).withColumn("key", F.xxhash64("key", "__at.chunk", "__at.part")).select(*own)
 
 
-def _by_key(rows: DataFrame, linked, blocks: int, bits: int, node: str = "fp", settled=None) -> DataFrame:
+def _by_key(rows: DataFrame, linked, blocks: int, bits: int, node: str = "fp", settled=None, split: bool = True) -> DataFrame:
     """``linked`` of the keyed rows (mask, fp, ...).
 
     Keys of over GROUP rows are compared in parts first. By ``settled``, what was
     found gives (node, root), and rows of one root need no comparison any more. If a
     key has at most GROUP rows beside those of its largest root, these meet every
-    part; else its rows go on with finer keys, at the last level by chunks.
+    part; else its rows go on with finer keys, at the last level by chunks. Finer keys
+    keep pairs of ``bits``; where ``linked`` accepts more, ``split`` must be off, so
+    that parts meet by chunks at once.
     """
     settled = settled or components
     found, hot_found, free = [], None, 64
@@ -298,7 +300,7 @@ def _by_key(rows: DataFrame, linked, blocks: int, bits: int, node: str = "fp", s
         sizes = hot.groupBy("key", "label").agg(F.count("*").alias("c"))
         sizes = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), (F.sum("c") - F.max("c")).alias("m"))
         sizes = cut(sizes.where("m > 0"))
-        last = free < 2 * blocks
+        last = not split or free < 2 * blocks
         few = sizes if last else sizes.where(F.col("m") <= GROUP)
         found.append(linked(_parted(hot, few)))
         many = sizes.select("key").subtract(few.select("key"))
@@ -382,6 +384,12 @@ def _similar(keyed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "u long, v long")
 
 
+def _near_prints(rows: DataFrame) -> DataFrame:
+    """``fp`` of (mask, fp) that have a neighbour."""
+    seen = lambda found: found.select(F.col("fp").alias("node"), F.lit("seen").alias("root"))
+    return _by_key(rows, _with_neighbours, NEAR_BLOCKS, NEAR_BITS, settled=seen, split=False)
+
+
 def similar_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v): links among fingerprints of texts that are similar by their shingles.
 
@@ -390,8 +398,7 @@ def similar_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     mask = F.lit(0).cast("long").alias("mask")
     spots = cut(prints.groupBy(F.col("pairs_print").alias("fp"), F.col("fingerprint").alias("node")).agg(F.min("text_hash").alias("text_hash")))
     fps = cut(spots.groupBy("fp").agg(F.count("*").alias("n")))
-    seen = lambda found: found.select(F.col("fp").alias("node"), F.lit("seen").alias("root"))
-    near = _by_key(fps.select(mask, "fp"), _with_neighbours, NEAR_BLOCKS, NEAR_BITS, settled=seen)
+    near = _near_prints(fps.select(mask, "fp"))
     near = cut(near.unionByName(fps.where("n > 1").select("fp")).distinct())
     near = cut(spots.join(small(near), "fp").select(mask, "fp", "node", "text_hash"))
 
@@ -401,7 +408,7 @@ def similar_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.join(small(near.select("text_hash").distinct()), "text_hash", "left_semi")
     wide = append_columns(texts, ["text"], [T.StructField("wide", T.BinaryType(), False)], make, ["text_hash"])
     wide = wide.groupBy("text_hash").agg(F.min("wide").alias("wide"))  # repeated texts have it once
-    return _by_key(cut(near.join(wide, "text_hash").select("mask", "fp", "node", "wide")), _similar, NEAR_BLOCKS, NEAR_BITS, "node")
+    return _by_key(cut(near.join(wide, "text_hash").select("mask", "fp", "node", "wide")), _similar, NEAR_BLOCKS, NEAR_BITS, "node", split=False)
 
 
 def exact_links(prints: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -230,3 +230,18 @@ def test_exact_links_do_not_depend_on_group_size(spark, monkeypatch, group):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     assert kept == {find(i) for i in range(len(rows))}
+
+
+def test_hot_keys_keep_pairs_of_more_bits(spark, monkeypatch):
+    """Neighbours of 7 to 10 bits are the same however many rows share their keys."""
+    rng, fps = random.Random(8), set()
+    top = rng.getrandbits(24) << 40
+    for _ in range(150):
+        x = top | rng.getrandbits(40)
+        fps |= {x, x ^ sum(1 << b for b in rng.sample(range(40), rng.randint(7, 10)))}
+    rows = spark.createDataFrame([(0, f - (1 << 64) * (f >> 63)) for f in sorted(fps)], "mask long, fp long")
+    got = []
+    for group in (8192, 20):
+        monkeypatch.setattr(simhash, "GROUP", group)
+        got.append({r.fp for r in simhash._near_prints(rows).collect()})
+    assert len(got[0]) > 200 and got[0] == got[1]
