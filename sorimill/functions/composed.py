@@ -1,70 +1,77 @@
 """Canonical composition (NFC), with a map from its code points back to the source.
 
-Spark has no such function, so rows that may need it go through Python in Arrow
-batches. A test in the plan finds them; all others pass null there and stay as
-they are. The text engine reads composed text: ``normalize(nfc(text))``.
+Spark has no such function, but the library its collations come with does. It is called
+in the JVM, for texts that may need it only; the map is made for those that do.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
-import pyarrow as pa
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import let
 
-_LEAD, _VOWEL, _TAIL = "\u1100-\u115F\uA960-\uA97C", "\u1160-\u11A7\uD7B0-\uD7C6", "\u11A8-\u11FF\uD7CB-\uD7FB"
+_LEAD, _VOWEL, _TAIL = r"\x{1100}-\x{115F}\x{A960}-\x{A97C}", r"\x{1160}-\x{11A7}\x{D7B0}-\x{D7C6}", r"\x{11A8}-\x{11FF}\x{D7CB}-\x{D7FB}"
 _OPEN = "".join(map(chr, range(0xAC00, 0xD7A4, 28)))
-_MARK = r"[^\p{ccc=0}]*"
-#: What is composed as a whole: letters of a syllable, or a character, with the marks behind them.
-_CLUSTER = regex.compile(rf"(?s)(?:[{_LEAD}]{_MARK}[{_VOWEL}]{_MARK}[{_TAIL}]|[{_LEAD}]{_MARK}[{_VOWEL}]|[{_OPEN}]{_MARK}[{_TAIL}]|.){_MARK}")
 #: Composition leaves characters below U+0300 and whole syllables as they are.
 _PLAIN = r"^[\x{00}-\x{2FF}가-힣]*$"
 
 SPAN = "struct<start:int,end:int>"
-MAPPED = f"struct<text:string,spans:array<{SPAN}>,rewrites:array<struct<start:int,end:int,before:string,after:string>>>"
-_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_REWRITE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string())])
-_MAPPED = pa.struct([("text", pa.string()), ("spans", pa.list_(_SPAN)), ("rewrites", pa.list_(_REWRITE))])
+REWRITE = "struct<start:int,end:int,before:string,after:string>"
 
 
-def composed(text: str) -> dict:
-    """NFC of each cluster, the source's range for each code point of it, and what changed."""
-    out, spans, rewrites = [], [], []
-    for found in _CLUSTER.finditer(text):
-        before, place = found.group(), dict(zip(("start", "end"), found.span()))
-        after = unicodedata.normalize("NFC", before)
-        out.append(after)
-        spans += [place] * len(after)
-        if after != before:
-            rewrites.append(place | {"before": before, "after": after})
-    return {"text": "".join(out), "spans": spans, "rewrites": rewrites}
+@cache
+def combining() -> str:
+    """The characters with a combining class, as ranges for a pattern."""
+    found = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
+    starts = [c for i, c in enumerate(found) if i == 0 or found[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(found) if i == len(found) - 1 or found[i + 1] != c + 1]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends))
 
 
-def _compose(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+@cache
+def _cluster() -> str:
+    """What is composed as a whole: letters of a syllable, or a character, with the marks behind them."""
+    mark = f"[{combining()}]*+"
+    return rf"(?s)(?:[{_LEAD}]{mark}[{_VOWEL}]{mark}[{_TAIL}]|[{_LEAD}]{mark}[{_VOWEL}]|[{_OPEN}]{mark}[{_TAIL}]|.){mark}"
 
 
-def _compose_mapped(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else composed(t) for t in texts.to_pylist()], _MAPPED)
+def _composed(text: Column) -> Column:
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(~text.rlike(_PLAIN), composed).otherwise(text)
 
 
 def nfc(text: Column) -> Column:
     """The text in NFC; null stays null."""
-    changed = F.arrow_udf(_compose, "string")(F.when(~text.rlike(_PLAIN), text))
-    return F.coalesce(changed, text)
+    return _composed(text)
 
 
 def nfc_mapped(text: Column) -> Column:
     """(text, spans, rewrites): NFC, for each of its code points the range (start, end) of
     the source that it came from, and the clusters that changed. Null stays null."""
-    changed = F.arrow_udf(_compose_mapped, MAPPED)(F.when(~text.rlike(_PLAIN), text))
-    places = F.when(text == "", F.array()).otherwise(F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"))))
-    same = F.struct(text.alias("text"), places.cast(f"array<{SPAN}>").alias("spans"), F.array().cast(MAPPED.split("rewrites:")[1][:-1]).alias("rewrites"))
-    return F.coalesce(changed, F.when(text.isNotNull(), same))
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+
+    def result(x: Column) -> Column:
+        places = F.when(x == "", none(SPAN)).otherwise(F.transform(F.sequence(F.lit(0), F.length(x) - 1), lambda i: F.struct(i.alias("start"), (i + 1).alias("end"))))
+        same = F.struct(x.alias("text"), places.cast(f"array<{SPAN}>").alias("spans"), none(REWRITE).alias("rewrites"))
+        clusters = F.transform(F.regexp_extract_all(x, F.lit(_cluster()), F.lit(0)), lambda c: F.struct(c.alias("before"), _composed(c).alias("after")))
+
+        def step(acc: Column, c: Column) -> Column:
+            end = acc["at"] + F.length(c["before"])
+            place = F.struct(acc["at"].alias("start"), end.alias("end"))
+            change = F.when(c["before"] != c["after"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), c["before"].alias("before"), c["after"].alias("after")))).otherwise(none(REWRITE))
+            return F.struct(
+                end.alias("at"), F.concat(acc["text"], c["after"]).alias("text"), F.concat(acc["spans"], F.array_repeat(place, F.length(c["after"]))).alias("spans"), F.concat(acc["rewrites"], change).alias("rewrites")
+            )
+
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"), none(SPAN).alias("spans"), none(REWRITE).alias("rewrites"))
+        mapped = F.aggregate(clusters, start, step, lambda acc: F.struct(*[acc[f].alias(f) for f in ("text", "spans", "rewrites")]))
+        return F.when(x.rlike(f"[{combining()}{_LEAD}{_TAIL}]") | (_composed(x) != x), mapped).when(x.isNotNull(), same)
+
+    return let(text, result)
 
 
 def source_span(mapped: Column, start: Column, end: Column) -> Column:

@@ -38,56 +38,6 @@ def unit_facts(unit: Column) -> Column:
     )
 
 
-_P = rf"((?:{g.PARTICLE})?)"
-#: For each kind its anchored pattern and the groups that are its parts.
-PARTS: dict[str, tuple[str, dict[str, int]]] = {
-    "range_both": (rf"({g.NUM}){g.H}({g.BUNIT}){g.H}{g.WIDE}{g.H}({g.NUM}){g.H}({g.BUNIT}){_P}", {"a": 1, "au": 2, "b": 3, "bu": 4, "tail": 5}),
-    "scaled_range": (rf"({g.NUM}){g.H}({g.SCALE}){g.H}{g.WIDE}{g.H}({g.NUM}){g.H}({g.SCALE}){g.H}원{_P}", {"a": 1, "au": 2, "b": 3, "bu": 4, "tail": 5}),
-    "range": (rf"({g.NUM}){g.H}{g.WIDE}{g.H}({g.NUM})(?:{g.H}({g.RUNIT}){_P})?", {"a": 1, "b": 2, "bu": 3, "tail": 4}),
-    "time_range": (rf"(.*?){g.H}{g.WIDE}{g.H}(.*)", {"x": 1, "tail": 2}),
-    "phone": (rf"({g.PHONE}){_P}", {"x": 1, "tail": 2}),
-    "emergency": (rf"([0-9]+){_P}", {"x": 1, "tail": 2}),
-    "ordinal": (rf"제{g.H}({g.NUM}){g.H}({g.HUNIT})([가-힣]*)", {"a": 1, "au": 2, "tail": 3}),
-    "numbered_item": (rf"({g.NUM}){g.H}(번)", {"a": 1, "au": 2}),
-    "history": (r"([0-9]{1,2}[.·][0-9]{1,2})(.*)", {"x": 1, "tail": 2}),
-    "currency": (rf"({g.SIGN}){g.H}({g.NUM})(?:{g.H}({g.CWORD}))?", {"x": 1, "a": 2, "bu": 3}),
-    "scaled_currency": (rf"({g.NUM}){g.H}({g.SCALE}){g.H}원{_P}", {"a": 1, "au": 2, "tail": 3}),
-    "exponent": (rf"({g.UNUM})\^([-−]?[0-9]+)", {"a": 1, "b": 2}),
-    "fraction": (rf"({g.UNUM})/({g.UNUM})", {"a": 1, "b": 2}),
-    "percentage": (rf"({g.NUM}){g.H}({g.PERCENT})", {"a": 1, "au": 2}),
-    "number_hangul_unit": (rf"({g.NUM}){g.H}({g.HUNIT})([가-힣]*)", {"a": 1, "au": 2, "tail": 3}),
-    "number_suffix": (rf"({g.NUM})({g.PARTICLE})", {"a": 1, "tail": 2}),
-    "number_punctuation": (rf"({g.NUM})([.,])", {"a": 1, "tail": 2}),
-    "number": (rf"({g.NUM})", {"a": 1}),
-    "decimal": (rf"({g.NUM})", {"a": 1}),
-    "indefinite_unit": (rf"(몇|수){g.H}({g.WUNIT})", {"x": 1, "au": 2}),
-    "unit_per": (rf"({g.WUNIT})당{_P}", {"au": 1, "tail": 2}),
-    "standalone_unit_symbol": (rf"({g.SIGNUNIT}){_P}", {"au": 1, "tail": 2}),
-}
-_QUANTITY = rf"^(?:({g.UNUM})/({g.UNUM})|({g.NUM})(?:{g.H}({g.SCALE}))?{g.H}(여)?){g.H}({g.WUNIT})$"
-_ISO = rf"^(?:({g.CODE}){g.H}({g.NUM})|({g.NUM}){g.H}({g.CODE}))(?:{g.H}({g.CWORD}))?$"
-FIELDS = ("a", "au", "b", "bu", "x", "tail")
-
-
-def parts(kind: Column, token: Column) -> Column:
-    """The parts of a token: numbers a and b, their units, x and what follows."""
-    chosen = {f: None for f in FIELDS}
-
-    def add(name: str, values: dict[str, Column]) -> None:
-        for f, v in values.items():
-            chosen[f] = F.when(kind == name, v) if chosen[f] is None else chosen[f].when(kind == name, v)
-
-    for name, (pattern, groups) in PARTS.items():
-        add(name, {f: F.regexp_extract(token, f"(?s)^{pattern}$", n) for f, n in groups.items()})
-    for name in ("quantity_unit", "fraction_unit", "number_unit"):
-        pick = lambda n: F.regexp_extract(token, _QUANTITY, n)
-        values = {"a": F.concat(pick(1), pick(3)), "b": pick(2), "bu": pick(4), "x": pick(5), "au": pick(6)}
-        add(name, values)
-    pick = lambda n: F.regexp_extract(token, _ISO, n)
-    add("iso_currency", {"x": F.concat(pick(1), pick(4)), "a": F.concat(pick(2), pick(3)), "bu": pick(5)})
-    return F.struct(*[F.coalesce(v, F.lit("")).alias(f) for f, v in chosen.items()])
-
-
 def _plain(f: Column) -> Column:
     """Whether a number can be read at all: no ambiguous zero, at most ten digits."""
     return f["ok"] & ~f["zero"] & ~f["long"]
@@ -138,12 +88,9 @@ def say_fraction(a: Column, b: Column) -> Column:
     return F.when(fine, F.concat(b["sino"], F.lit("분의 "), a["sino"]))
 
 
-_TIME = rf"^((?:오전|오후)?){g.H}([0-9]{{1,2}})(?::([0-9]{{2}})(?::([0-9]{{2}}))?|{g.H}시(?:{g.H}([0-9]{{1,2}}){g.H}분(?:{g.H}([0-9]{{1,2}}){g.H}초)?)?){_P}$"
-
-
-def _groups(token: Column, pattern: str, names) -> Column:
-    """The groups of a pattern as a struct of strings, empty where it doesn't match."""
-    return F.struct(*[F.regexp_extract(token, pattern, i).alias(n) for i, n in enumerate(names, 1)])
+def _digits(x: Column) -> Column:
+    """The groups of digits in a text."""
+    return F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))
 
 
 _TENS = ["", "십", *(d + "십" for d in t.SINO_DIGITS[2:])]
@@ -155,84 +102,83 @@ def _small(number: Column) -> Column:
     return F.get(words(_TO_99), number)
 
 
-def say_time(token: Column, particle: bool = True) -> Column:
-    """A clock time; hours of 1 to 12 are native."""
-    names = ("half", "hour", "m1", "s1", "m2", "s2", "tail")
-    number = lambda s: F.coalesce(F.when(s != "", s.cast("int")), F.lit(0))
+def _joined(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
 
-    def values(x: Column) -> Column:
-        minute, second = F.concat(x["m1"], x["m2"]), F.concat(x["s1"], x["s2"])
-        found = {"half": x["half"], "tail": x["tail"], "hour": x["hour"], "minute": minute, "second": second}
-        return F.struct(*[v.alias(k) for k, v in found.items()], number(x["hour"]).alias("h"), number(minute).alias("m"), number(second).alias("s"))
+def say_time(clock: Column) -> Column:
+    """A clock time; hours of 1 to 12 are native."""
+    native = [t.NATIVE_TENS[n // 10] + t.NATIVE_ONES[n % 10] for n in range(13)]
 
     def say(x: Column) -> Column:
-        h, m, s = x["h"], x["m"], x["s"]
-        fine = (x["hour"] != "") & (m <= 59) & (s <= 59)
-        fine = fine & F.when(x["half"] != "", h.between(1, 12)).otherwise((h <= 24) & ((h != 24) | ((m == 0) & (s == 0))))
-        if not particle:
-            fine = fine & (x["tail"] == "")
-        native = F.get(words(["", *(t.NATIVE_TENS[n // 10] + t.NATIVE_ONES[n % 10] for n in range(1, 13))]), h)
-        spoken = F.concat(
-            F.when(x["half"] != "", F.concat(x["half"], F.lit(" "))).otherwise(""),
-            F.when(h.between(1, 12), native).otherwise(_small(h)),
-            F.lit(" 시"),
-            F.when(x["minute"] != "", F.concat(F.lit(" "), _small(m), F.lit(" 분"))).otherwise(""),
-            F.when(x["second"] != "", F.concat(F.lit(" "), _small(s), F.lit(" 초"))).otherwise(""),
-            x["tail"],
-        )
+        half, h = x["half"], F.get(x["n"], F.lit(0))
+        m, s = (F.coalesce(F.get(x["n"], F.lit(i)), F.lit(0)) for i in (1, 2))
+        given = F.size(x["n"])
+        fine = (m <= 59) & (s <= 59) & F.when(half != "", h.between(1, 12)).otherwise((h < 24) | ((h == 24) & (m + s == 0)))
+        hour = F.when(h.between(1, 12), F.get(words(native), h)).otherwise(_small(h))
+        spoken = _joined(
+            F.when(half != "", F.concat(half, F.lit(" "))).otherwise(""), hour, " 시",
+            F.when(given > 1, _joined(" ", _small(m), " 분")).otherwise(""),
+            F.when(given > 2, _joined(" ", _small(s), " 초")).otherwise(""),
+        )
         return F.when(fine, spoken)
 
-    return let(let(_groups(token, _TIME, names), values), say)
+    numbers = F.transform(_digits(clock), lambda d: d.cast("int"))
+    return let(F.struct(F.regexp_extract(clock, "^오[전후]", 0).alias("half"), numbers.alias("n")), say)
+
+
+def say_moment(text: Column, particle: bool) -> Column:
+    """A clock time with what is written behind it: nothing, or a particle."""
+    behind = g.compiled("[{particle}]") if particle else ""
+    pattern = f"^(?!.*[0-9][ \t]*시간)({g.compiled('{clock}')})({behind})$"
+    return F.when(text.rlike(pattern), F.concat(say_time(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2)))
 
 
 def _month(m: Column) -> Column:
     return F.when(m == 6, "유월").when(m == 10, "시월").otherwise(F.concat(_small(m), F.lit(" 월")))
 
 
-_DATE = rf"^([0-9]{{4}}){g.H}[-./년]{g.H}([0-9]{{1,2}}){g.H}[-./월]{g.H}([0-9]{{1,2}}){g.H}일?(?:\.?({g.PARTICLE}))?$"
-_MDAY = rf"^([0-9]{{1,2}}){g.H}월{g.H}([0-9]{{1,2}}){g.H}일{_P}$"
-_YMON = rf"^([0-9]{{4}}){g.H}년(?:{g.H}([0-9]{{1,2}}){g.H}월)?{_P}$"
-_MON = rf"^([0-9]{{1,2}}){g.H}월{_P}$"
+def _real(year: Column | str, month: Column, day: Column) -> Column:
+    """Whether a date exists."""
+    text = F.concat_ws("-", F.lit(year) if isinstance(year, str) else year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    return F.try_to_date(text, "yyyy-MM-dd").isNotNull()
 
 
-def _real(year: Column, x: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", year, F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0")), "yyyy-MM-dd").isNotNull()
+def _part(n: Column, i: int) -> Column:
+    return F.get(n, F.lit(i))
 
 
-def say_date(token: Column) -> Column:
+def say_date(x: Column) -> Column:
     """A calendar date that exists."""
 
-    def say(x: Column) -> Column:
-        spoken = F.concat(read_integer(x["y"]), F.lit(" 년 "), _month(x["m"].cast("int")), F.lit(" "), _small(x["d"].cast("int")), F.lit(" 일"), x["tail"])
-        return F.when((x["y"] != "") & (x["y"] != "0000") & _real(x["y"], x), spoken)
+    def say(n: Column) -> Column:
+        y, m, d = (_part(n, i) for i in range(3))
+        return F.when((y != "0000") & _real(y, m, d), _joined(read_integer(y), " 년 ", _month(m.cast("int")), " ", _small(d.cast("int")), " 일"))
 
-    return let(_groups(token, _DATE, ("y", "m", "d", "tail")), say)
+    return let(_digits(x), say)
 
 
-def say_month_day(token: Column) -> Column:
+def say_month_day(x: Column) -> Column:
     """A day that some year has."""
 
-    def say(x: Column) -> Column:
-        return F.when((x["m"] != "") & _real(F.lit("2000"), x), F.concat(_month(x["m"].cast("int")), F.lit(" "), _small(x["d"].cast("int")), F.lit(" 일"), x["tail"]))
+    def say(n: Column) -> Column:
+        m, d = (_part(n, i) for i in range(2))
+        return F.when(_real("2000", m, d), _joined(_month(m.cast("int")), " ", _small(d.cast("int")), " 일"))
 
-    return let(_groups(token, _MDAY, ("m", "d", "tail")), say)
+    return let(_digits(x), say)
 
 
-def _month_number(m: Column) -> Column:
-    return F.when(m != "", m.cast("int"))
+def say_year_month(x: Column) -> Column:
+    def say(n: Column) -> Column:
+        m = _part(n, 1).cast("int")
+        fine = (F.size(n) == 1) | m.between(1, 12)
+        return F.when(fine, _joined(read_integer(_part(n, 0)), " 년", F.when(F.size(n) == 1, "").otherwise(_joined(" ", _month(m)))))
 
+    return let(_digits(x), say)
 
-def say_year_month(token: Column) -> Column:
-    def say(x: Column) -> Column:
-        m = _month_number(x["m"])
-        fine = (x["y"] != "") & ((x["m"] == "") | m.between(1, 12))
-        return F.when(fine, F.concat(read_integer(x["y"]), F.lit(" 년"), F.when(x["m"] != "", F.concat(F.lit(" "), _month(m))).otherwise(""), x["tail"]))
 
-    return let(_groups(token, _YMON, ("y", "m", "tail")), say)
-
-
-def say_month(token: Column) -> Column:
-    return let(_groups(token, _MON, ("m", "tail")), lambda x: F.when(_month_number(x["m"]).between(1, 12), F.concat(_month(_month_number(x["m"])), x["tail"])))
+def say_month(x: Column) -> Column:
+    return let(x.cast("int"), lambda m: F.when(m.between(1, 12), _month(m)))
 
 
 def say_phone(number: Column) -> Column:
@@ -247,8 +193,9 @@ def say_acronym(token: Column) -> Column:
 
 def reading(r: Column) -> tuple[Column, Column]:
     """(spoken, rule) of a token with its parts p, the facts a, b, sa, sb of its numbers and ua, ub of its units."""
-    p, a, b, sa, sb, ua, ub, token, kind = (r[x] for x in ("p", "a", "b", "sa", "sb", "ua", "ub", "core", "kind"))
-    known = (p["tail"] == "") | among(p["tail"], t.PARTICLES)
+    p, a, b, sa, sb, ua, ub, token, kind = (r[x] for x in ("p", "a", "b", "sa", "sb", "ua", "ub", "token", "kind"))
+    two = f"^{g.compiled('{particle}{particle}')}$"
+    known = (p["tail"] == "") | among(p["tail"], t.PARTICLES) | (~token.rlike("[ \t]") & p["tail"].rlike(two))
     end = F.when(ub["native"], a["alone"]).otherwise(a["sino"])
     prefix = F.when(ub["speed"].isNotNull(), F.concat(ub["speed"], F.lit(" "))).otherwise("")
     with_unit = F.concat(prefix, end, F.lit("에서 "), say_side(b, sb, ub, speed=False), p["tail"])
@@ -282,15 +229,15 @@ def reading(r: Column) -> tuple[Column, Column]:
     scaled_money = F.when(~a["thousand"], F.concat(say_number(sa, " 원", long=True), p["tail"]))
     rows: dict[str, tuple[Column, Column | str]] = {
         "range_both": (F.concat(say_side(a, sa, ua), F.lit("에서 "), say_side(b, sb, ub), p["tail"]), "range_dual_unit"),
-        "time_range": (F.concat(say_time(p["x"], particle=False), F.lit("에서 "), say_time(p["tail"])), "clock_range"),
+        "time_range": (F.concat(say_moment(p["x"], False), F.lit("에서 "), say_moment(p["tail"], True)), "clock_range"),
         "phone": (F.concat(say_phone(p["x"]), p["tail"]), "phone"),
         "emergency": (F.concat(read_phone_digits(p["x"]), p["tail"]), "emergency_number"),
-        "time": (say_time(token), "clock_time"),
-        "korean_date": (say_date(token), "calendar_date"),
-        "date": (say_date(token), "calendar_date"),
-        "month_day": (say_month_day(token), "calendar_month_day"),
-        "year_month": (say_year_month(token), "calendar_year_month"),
-        "month": (say_month(token), "calendar_month"),
+        "time": (F.concat(say_time(p["x"]), p["tail"]), "clock_time"),
+        "korean_date": (F.concat(say_date(p["x"]), p["tail"]), "calendar_date"),
+        "date": (F.concat(say_date(p["x"]), p["tail"]), "calendar_date"),
+        "month_day": (F.concat(say_month_day(p["x"]), p["tail"]), "calendar_month_day"),
+        "year_month": (F.concat(say_year_month(p["x"]), p["tail"]), "calendar_year_month"),
+        "month": (F.concat(say_month(p["x"]), p["tail"]), "calendar_month"),
         "ordinal": (F.when(known, F.concat(F.lit("제 "), say_unit(a, ua, sino=True), p["tail"])), "ordinal_context"),
         "numbered_item": (say_unit(a, ua, sino=True), "number_ordinal_sino"),
         "history": (F.concat(read_history(p["x"]), p["tail"]), "historical_date"),
@@ -301,13 +248,12 @@ def reading(r: Column) -> tuple[Column, Column]:
         "range": (span, F.when(p["bu"] == "", "range_number").when(ub["speed"].isNotNull(), "range_speed").otherwise("range_unit")),
         "standalone_unit_symbol": (F.concat(unit_name, p["tail"]), "standalone_unit_symbol"),
         "quantity_unit": (quantity, quantity_rule),
-        "fraction_unit": (quantity, quantity_rule),
-        "number_unit": (quantity, quantity_rule),
         "exponent": (F.when(a["ok"] & b["ok"], F.concat(a["sino"], F.lit("의 "), b["sino"], F.lit("승"))), "math_exponent"),
         "fraction": (say_fraction(a, b), "fraction"),
         "percentage": (say_number(a, F.when(F.lower(p["au"]) == "%p", " 퍼센트포인트").otherwise(" 퍼센트")), "percentage"),
         "number_hangul_unit": (F.when(known, F.concat(say_unit(a, ua), p["tail"])), counted),
-        "number_suffix": (F.concat(say_number(a), p["tail"]), sino),
+        # 만 behind a decimal may be a scale
+        "number_suffix": (F.when(~((p["tail"] == "만") & (a["fraction"] != "")), F.concat(say_number(a), p["tail"])), sino),
         "number_punctuation": (F.concat(say_number(a), p["tail"]), sino),
         "number": (say_number(a), sino),
         "decimal": (say_number(a), sino),
@@ -326,7 +272,34 @@ def reading(r: Column) -> tuple[Column, Column]:
         rule_name = F.lit(rule_name) if isinstance(rule_name, str) else rule_name
         rule = F.when(kind == name, rule_name) if rule is None else rule.when(kind == name, rule_name)
     version = F.when(rule == "range_unit", ".v2").otherwise(".v1")
-    return F.concat(spoken, r["glue"]), F.concat(F.lit("normalizer."), rule, version)
+    return F.concat(spoken, p["glue"]), F.concat(F.lit("normalizer."), rule, version)
+
+
+def in_context(r: Column) -> Column:
+    """(number, unit, site, default, behind, length) where context may change how a number is read, else null.
+
+    ``behind`` is what stands behind the number once spoken, ``length`` that of the token without a stop.
+    """
+    p, kind = r["p"], r["kind"]
+    bare = kind.isin("number", "number_suffix", "number_punctuation")
+    plain = (kind == "quantity_unit") & (p["b"] == "") & (p["bu"] == "") & (p["x"] == "")
+    month = (p["au"] == "월") & p["a"].isin("6", "10")
+    first = (p["au"] == "번째") & (p["a"] == "1")
+    counted = ((kind == "number_hangul_unit") & ~month & ~first) | plain
+    asks = p["a"].rlike("^(?:0|[1-9][0-9]{0,9})$") & (bare | (counted & ~among(p["au"], t.CONTEXT_FREE_UNITS)))
+    behind = F.when(bare, F.concat(p["tail"], p["glue"])).otherwise(F.concat(F.lit(" "), r["ua"]["name"], p["tail"], p["glue"]))
+    stop = F.when(F.concat(p["tail"], p["glue"]).rlike("[.,]$"), 1).otherwise(0)
+    return F.when(
+        asks,
+        F.struct(
+            p["a"].alias("number"),
+            F.when(bare, "").otherwise(p["au"]).alias("unit"),
+            F.when(bare, "bare").otherwise("unit").alias("site"),
+            F.when(~bare & r["ua"]["native"], "native").otherwise("sino").alias("default"),
+            behind.alias("behind"),
+            (F.length(r["token"]) - stop).alias("length"),
+        ),
+    )
 
 
 def facts_of(p: Column) -> list[Column]:

@@ -2,7 +2,8 @@
 
 Written forms are made from typed columns and read by the engine; the SQL reads
 the typed values with arithmetic and word lists of its own. Inputs are grouped
-first, so each written form is read once however often it occurs.
+first, so each written form is read once however often it occurs, and the distinct
+ones are dealt to all tasks before the costly reading.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from ..functions import hangul, phonology
 from ..functions import numbers as num
 from ..functions import tables as t
 from ..functions.composed import nfc_mapped, source_span
-from ..operators.g2p import g2p
-from ..operators.normalize import convert, normalize, tokens
+from ..operators import classify, lexicon, measure, route
+from ..operators.g2p import g2p, g2p_detail
+from ..operators.normalize import convert, guarded, normalize, protected, read_tokens, tokens, unguarded
 
 
 def _sql_list(words) -> str:
@@ -45,12 +47,20 @@ def sino(n: str) -> str:
     )
 
 
+_ONES, _TENS = "한 두 세 네 다섯 여섯 일곱 여덟 아홉".split(), "열 스물 서른 마흔 쉰 예순 일흔 여든 아흔".split()
+_ALONE = "하나 둘 셋 넷 다섯 여섯 일곱 여덟 아홉".split()
+
+
 def native(n: str) -> str:
-    return f"(CASE WHEN {n} BETWEEN 1 AND 99 THEN {_sql_list(num._NATIVE[1:])}[{n}] ELSE {sino(n)} END)"
+    """SQL of the native reading of 1 to 99 before a counter; others are Sino-Korean."""
+    own = f"{_sql_list(['', *_TENS])}[({n}) // 10 + 1] || {_sql_list(['', *_ONES])}[({n}) % 10 + 1]"
+    return f"(CASE WHEN {n} = 20 THEN '스무' WHEN {n} BETWEEN 1 AND 99 THEN {own} ELSE {sino(n)} END)"
 
 
 def alone(n: str) -> str:
-    return f"(CASE WHEN {n} BETWEEN 1 AND 99 THEN {_sql_list(num._ALONE[1:])}[{n}] ELSE {sino(n)} END)"
+    """The same without a counter."""
+    own = f"{_sql_list(['', *_TENS])}[({n}) // 10 + 1] || {_sql_list(['', *_ALONE])}[({n}) % 10 + 1]"
+    return f"(CASE WHEN {n} BETWEEN 1 AND 99 THEN {own} ELSE {sino(n)} END)"
 
 
 def digits(text: str, names: str, gap: str) -> str:
@@ -65,6 +75,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Distinct rows dealt to all tasks: after a small exchange they would meet in one."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 #: name: (table, typed keys in Spark, keys in SQL, written form, reading in SQL of the keys)
 _SPOKEN: dict[str, tuple[str, dict[str, str], dict[str, str], str, str]] = {}
 
@@ -119,7 +136,6 @@ _spoken(
     f"'공 일 공 ' || {digits('k', t.PHONE_DIGITS, ' ')}",
 )
 _spoken("ren_identifier_kept", "customer", "c_custkey", "c_custkey", "concat('계좌번호 ', k)", "'계좌번호 ' || CAST(k AS VARCHAR)")
-_spoken("prt_url_kept", "pages", "page_id", "page_id", "concat('https://example.com/', k, '에서 ', 7, '개')", "'https://example.com/' || CAST(k AS VARCHAR) || '에서 일곱 개'")
 _spoken("prt_email_kept", "customer", "c_custkey", "c_custkey", "concat('user', k, '@example.com으로')", "'user' || CAST(k AS VARCHAR) || '@example.com으로'")
 
 
@@ -128,7 +144,7 @@ def _spoken_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         grouped = _read(spark, sf_dir, table).groupBy(F.expr(keys["k"]).alias("k")).agg(F.count("*").alias("n"))
-        spoken = grouped.select("k", F.expr(written).alias("written"), "n").select("k", normalize(F.col("written")).alias("spoken"), "n")
+        spoken = dealt(grouped, "k").select("k", F.expr(written).alias("written"), "n").select("k", normalize(F.col("written")).alias("spoken"), "n")
         return spoken.select(F.col("k").cast("string").alias("k"), "spoken", "n")
 
     run.__name__ = name
@@ -189,15 +205,15 @@ def han_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token kinds of sentences written from the orders."""
     o = _read(spark, sf_dir, "orders")
-    text = F.concat(F.lit("주문 "), F.col("o_orderkey"), F.lit("개, "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" USB와 "), F.pmod("o_custkey", F.lit(90)) + 1, F.lit("%"))
-    kinds = o.select("o_orderstatus", F.explode(tokens(text)).alias("t")).where("t.kind <> 'gap'")
+    text = F.concat(F.lit("물건 "), F.col("o_orderkey"), F.lit("개 "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" USB와 "), F.pmod("o_custkey", F.lit(90)) + 1, F.lit("%"))
+    kinds = dealt(o, "o_orderkey").select("o_orderstatus", F.explode(tokens(text)).alias("t")).where("t.kind <> 'gap'")
     return kinds.cube("o_orderstatus", "t.kind").agg(F.count("*").alias("n")).select("o_orderstatus", F.col("kind"), "n")
 
 
 _KINDS_SQL = """
-WITH k AS (SELECT o_orderstatus, unnest(['semantic_cluster', 'date', 'acronym', 'percent']) AS p FROM orders),
-m AS (SELECT o_orderstatus, CASE p WHEN 'percent' THEN 'semantic_cluster' ELSE p END AS kind FROM k)
-SELECT o_orderstatus, kind, count(*) AS n FROM m GROUP BY CUBE (o_orderstatus, kind)
+WITH k AS (SELECT o_orderstatus, unnest(['number_hangul_unit', 'date', 'acronym', 'percentage']) AS kind FROM orders),
+c AS (SELECT o_orderstatus, 'semantic_cluster' AS kind FROM orders WHERE false)
+SELECT o_orderstatus, kind, count(*) AS n FROM (SELECT * FROM k UNION ALL SELECT * FROM c) GROUP BY CUBE (o_orderstatus, kind)
 """
 
 
@@ -219,18 +235,40 @@ def spell_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_name", num.spell_letters(F.col("n_name")).alias("spoken"))
 
 
-_SPELL_SQL = (
-    "SELECT n_name, array_to_string([MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in t.LETTER_NAMES.items()) + "}[c] FOR c IN string_split(lower(n_name), '')], '') AS spoken FROM nation"
-)
+_NAMES = "에이 비 씨 디 이 에프 지 에이치 아이 제이 케이 엘 엠 엔 오 피 큐 알 에스 티 유 브이 더블유 엑스 와이 지".split()
+_SPELL_SQL = f"SELECT n_name, array_to_string([{_sql_list(_NAMES)}[unicode(c) - 96] FOR c IN string_split(lower(n_name), '') IF unicode(c) BETWEEN 97 AND 122], '') AS spoken FROM nation"
 
 
 def g2p_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: from a written amount to its pronunciation, for each discount."""
     grouped = _read(spark, sf_dir, "lineitem").groupBy(F.expr(_Q).alias("k")).agg(F.count("*").alias("n"))
-    written = grouped.select("k", "n", F.concat("k", F.lit("개")).alias("written"))
+    written = dealt(grouped, "k").select("k", "n", F.concat("k", F.lit("개")).alias("written"))
     return written.select("k", "written", normalize(F.col("written")).alias("spoken"), g2p(F.col("written")).alias("sound"), "n")
 
 
+#: Sounds of the ones before 개, behind no ten; ㅅ, ㅂ are stops, and what follows them is tense.
+_ONES_SOUND = "한 두 세 네 다섣 여섣 일곱 여덜 아홉".split()
+#: 6 to 9 behind a ten: its final sound meets ㄴ that 여 takes, or moves to the vowel.
+_TEN_SIX = "열려섣 스물려섣 서른녀섣 마흔녀섣 쉰녀섣".split()
+_TEN_SEVEN = "여릴곱 스무릴곱 서르닐곱 마흐닐곱 쉬닐곱".split()
+_TEN_EIGHT = "열려덜 스물려덜 서른녀덜 마흔녀덜 쉰녀덜".split()
+_TEN_NINE = "여라홉 스무라홉 서르나홉 마흐나홉 쉬나홉".split()
+#: 4 behind a final ㄹ; 1 behind a final sound before ㅎ stays.
+_TEN_FOUR = "열레 스물레 서른네 마흔네 쉰네".split()
+_TENS_OF = ["열", "스물", "서른", "마흔", "쉰"]
+_COUNT_SOUND = f"""
+CASE WHEN k = 20 THEN '스무' WHEN k < 10 THEN {_sql_list(_ONES_SOUND)}[k] WHEN k % 10 = 4 THEN {_sql_list(_TEN_FOUR)}[k // 10]
+  WHEN k % 10 = 6 THEN {_sql_list(_TEN_SIX)}[k // 10] WHEN k % 10 = 7 THEN {_sql_list(_TEN_SEVEN)}[k // 10]
+  WHEN k % 10 = 8 THEN {_sql_list(_TEN_EIGHT)}[k // 10] WHEN k % 10 = 9 THEN {_sql_list(_TEN_NINE)}[k // 10]
+  ELSE {_sql_list(_TENS_OF)}[k // 10] || CASE WHEN k % 10 = 0 THEN '' ELSE {_sql_list(_ONES_SOUND)}[k % 10] END END
+  || CASE WHEN k % 10 IN (5, 6, 7, 9) THEN ' 깨' ELSE ' 개' END
+"""
+_G2P_SQL = f"""
+WITH g AS (SELECT {_SQ} AS k, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT k, CAST(k AS VARCHAR) || '개' AS written, {native('k')} || ' 개' AS spoken, {_COUNT_SOUND} AS sound, n FROM g
+"""
+
+
 def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pronunciation of two-syllable words 'X라' for the 27 codas, by the pair table."""
     p = _read(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(28)).alias("coda")).distinct()
@@ -238,8 +276,16 @@ def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("coda").cast("long").alias("coda"), word.alias("word"), phonology.pronounce(word).alias("sound"))
 
 
-_RA = ["아라", *("앙나 앙나 앙나 알라 알라 알라 앋라 알라 앙나 암나 알라 알라 알라 암나 알라 암나 암나 암나 앋라 앋라 앙나 앋라 앋라 앙나 앋라 암나 앋라".split())]
-_PAIR_SQL = f"SELECT DISTINCT p_partkey % 28 AS coda, chr(CAST(50500 + p_partkey % 28 AS INT)) || '라' AS word, {_sql_list(_RA)}[p_partkey % 28 + 1] AS sound FROM part"
+#: Seven sounds stand for all codas (by the standard's articles 9 to 11); before ㄹ they and it change by 19 and 20.
+_STAND = "ㄱ ㄱ ㄱ ㄴ ㄴ ㄴ ㄷ ㄹ ㄱ ㅁ ㄹ ㄹ ㄹ ㅂ ㄹ ㅁ ㅂ ㅂ ㄷ ㄷ ㅇ ㄷ ㄷ ㄱ ㄷ ㅂ ㄷ".split()
+_PAIR_SQL = f"""
+WITH c AS (SELECT DISTINCT p_partkey % 28 AS coda FROM part),
+s AS (SELECT coda, CASE coda WHEN 0 THEN ' ' ELSE {_sql_list(_STAND)}[coda] END AS sound FROM c),
+m AS (SELECT coda, CASE sound WHEN 'ㄱ' THEN 'ㅇ' WHEN 'ㅂ' THEN 'ㅁ' WHEN 'ㄴ' THEN 'ㄹ' ELSE sound END AS left_sound,
+  CASE WHEN sound IN ('ㄱ', 'ㅂ', 'ㅁ', 'ㅇ') THEN '나' ELSE '라' END AS right_sound FROM s)
+SELECT coda, chr(CAST(50500 + coda AS INT)) || '라' AS word,
+  chr(CAST(50500 + strpos(' ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ', left_sound) - 1 AS INT)) || right_sound AS sound FROM m
+"""
 
 
 def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,8 +317,314 @@ FROM part
 """
 
 
+#: kind: (written form of k, SQL of its reading, diagnostic code); a reading of None is the written form.
+#: k is a size of a part, 1 to 50; the SQL of the written form is the same.
+_KINDS: dict[str, tuple[str, str | None, str | None]] = {
+    "contextual_short_date": ("concat('생일은 ', k, '/3')", None, "ambiguous_numeric"),
+    "contextual_identifier": ("concat('좌석 ', k)", None, "ambiguous_numeric"),
+    "unsupported_comparison": ("concat('H > ', k)", None, "ambiguous_numeric"),
+    "date_range": ("concat('3월 ', k, '일~4월 5일까지')", None, "ambiguous_numeric"),
+    "mixed_fraction": ("concat(k, ' 1/2kg')", None, "ambiguous_numeric"),
+    "range_both": ("concat(k, '%~99%')", f"{sino('k')} || ' 퍼센트에서 구십구 퍼센트'", None),
+    "unsupported_semantic_pair": ("concat('$', k, ' - $99')", None, "ambiguous_numeric"),
+    "mixed_currency": ("concat('$', k, ' USD')", None, "ambiguous_numeric"),
+    "mixed_numeric_context": ("concat('AI시', k, 'MHz')", None, "ambiguous_identifier"),
+    "version": ("concat('v', k, '.2')", None, None),
+    "filename": ("concat('data', k, '.json')", None, None),
+    "phone": ("concat('02-3456-10', lpad(CAST(k AS VARCHAR(9)), 2, '0'))", f"'공 이 삼 사 오 육 일 공 ' || {digits("lpad(CAST(k AS VARCHAR), 2, '0')", t.PHONE_DIGITS, ' ')}", None),
+    "malformed_phone": ("concat('010 123 ', k + 10000)", None, "ambiguous_numeric"),
+    "ipv4": ("concat('192.168.0.', k)", None, None),
+    "time": ("concat('오후 3:', lpad(CAST(k AS VARCHAR(9)), 2, '0'))", f"'오후 세 시 ' || {sino('k')} || ' 분'", None),
+    "korean_date": ("concat('2024년 ', (k - 1) % 12 + 1, '월 ', (k - 1) % 28 + 1, '일')", f"'이천이십사 년 ' || {month('((k - 1) % 12 + 1)')} || ' ' || {sino('((k - 1) % 28 + 1)')} || ' 일'", None),
+    "month": ("concat((k - 1) % 12 + 1, '월에')", f"{month('((k - 1) % 12 + 1)')} || '에'", None),
+    "malformed_structured": ("concat('2026-08-07÷', k)", None, "ambiguous_numeric"),
+    "numbered_item": ("concat(k, '번 출구')", f"{sino('k')} || ' 번 출구'", None),
+    "history": ("concat('3.1절 ', k, '개')", f"'삼일절 ' || {native('k')} || ' 개'", None),
+    "unsupported_math": ("concat(k, ' / 7')", None, "ambiguous_numeric"),
+    "unsupported_range": ("concat('1 ~ ', k, '개발')", None, "ambiguous_numeric"),
+    "standalone_unit_symbol": ("concat('㎏은 ', k, '개')", f"'킬로그램은 ' || {native('k')} || ' 개'", None),
+    "quantity_unit": ("concat(k, '여 m')", f"{sino('k')} || '여 미터'", None),
+    "mixed_numeric_suffix": ("concat(k, '개abc')", None, "ambiguous_identifier"),
+    "semantic_cluster": ("concat('÷÷ ', k, '개')", f"'÷÷ ' || {native('k')} || ' 개'", "unsupported_symbol"),
+    "non_ascii_decimal": ("translate(CAST(k AS VARCHAR(9)), '0123456789', '٠١٢٣٤٥٦٧٨٩')", None, "ambiguous_numeric"),
+    "exponent": ("concat('2^', k, '을')", f"'이의 ' || {sino('k')} || '승을'", None),
+    "fraction": ("concat('3/', k, '은')", f"{sino('k')} || '분의 삼은'", None),
+    "percentage": ("concat(k, ' %p')", f"{sino('k')} || ' 퍼센트포인트'", None),
+    "number_hangul_unit": ("concat(k, ' 번째')", f"CASE k WHEN 1 THEN '첫' ELSE {native('k')} END || ' 번째'", None),
+    "decimal": ("concat(k, '.25')", f"{sino('k')} || ' 점 이 오'", None),
+    "unsupported_prefixed_numeric": ("concat('₩', k, '..')", None, "ambiguous_numeric"),
+    "unsupported_numeric": ("concat('.', k)", None, "ambiguous_numeric"),
+    "ambiguous_hyphen": ("concat(k, '-99')", None, "ambiguous_hyphen"),
+    "number_punctuation": ("concat(k * 1000, ',')", f"{sino('k * 1000')} || ','", None),
+    "numeric_guard": ("concat(k, '..2')", None, "ambiguous_numeric"),
+    "non_ascii_numeric_cluster": ("concat(k, '①')", None, "ambiguous_numeric"),
+    "ambiguous_numeric": ("concat('12345678901', k)", None, "ambiguous_numeric"),
+    "ambiguous_number_word": ("concat(k, '사과')", None, "ambiguous_numeric"),
+    "ambiguous_latin_hyphen": ("concat('Wi-Fi ', k, '개')", f"'Wi-Fi ' || {native('k')} || ' 개'", "unconverted_latin"),
+    "ambiguous_identifier": ("concat('B', k, 'B')", None, "ambiguous_identifier"),
+    "number": ("concat('값 ', k * 1000)", f"'값 ' || {sino('k * 1000')}", None),
+    "indefinite_unit": ("concat('몇 ml ', k, '개')", f"'몇 밀리리터 ' || {native('k')} || ' 개'", None),
+    "unit_per": ("concat('ha당 ', k, '원')", f"'헥타르당 ' || {sino('k')} || ' 원'", None),
+    "acronym": ("concat('NASA ', k, '명')", f"'나사 ' || {native('k')} || ' 명'", None),
+    "jamo_cluster": ("concat('ㅋㅋ ', k, '개')", f"'ㅋㅋ ' || {native('k')} || ' 개'", "unsupported_script"),
+    "jamo": ("concat('ㄳ ', k, '개')", f"'기역시옷 ' || {native('k')} || ' 개'", None),
+    "han": ("concat('漢字 ', k, '개')", f"'漢字 ' || {native('k')} || ' 개'", "unconverted_han"),
+    "latin": ("concat('Minnie ', k, '개')", f"'Minnie ' || {native('k')} || ' 개'", "unconverted_latin"),
+    "unsupported_symbol": ("concat('가격 A% ', k, '개')", f"'가격 A% ' || {native('k')} || ' 개'", "unsupported_symbol"),
+}
+
+
+_FAMILIES = {
+    "context": "contextual_short_date contextual_identifier unsupported_comparison mixed_numeric_context numbered_item indefinite_unit unit_per standalone_unit_symbol number_hangul_unit quantity_unit".split(),
+    "calendar": "date_range korean_date month time malformed_structured history phone malformed_phone ipv4 version filename".split(),
+    "pairs": "mixed_fraction range_both unsupported_semantic_pair mixed_currency unsupported_math unsupported_range ambiguous_hyphen fraction exponent percentage".split(),
+    "numbers": (
+        "mixed_numeric_suffix semantic_cluster non_ascii_decimal decimal unsupported_prefixed_numeric unsupported_numeric number_punctuation numeric_guard "
+        "non_ascii_numeric_cluster ambiguous_numeric ambiguous_number_word number"
+    ).split(),
+    "letters": "ambiguous_latin_hyphen ambiguous_identifier acronym jamo_cluster jamo han latin unsupported_symbol".split(),
+}
+
+
+def _kinds_query(family: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Each kind of a family in a sentence: how it is read, as what, and what is reported."""
+        sizes = _read(spark, sf_dir, "part").groupBy(F.col("p_size").alias("k")).agg(F.count("*").alias("n"))
+        forms = F.array(*[F.struct(F.lit(kind).alias("kind"), F.expr(_KINDS[kind][0].replace("VARCHAR(9)", "STRING")).alias("w")) for kind in _FAMILIES[family]])
+        each = dealt(sizes.select("k", "n", F.explode(forms).alias("f")), "k", "f")
+        read = each.select("k", "n", F.col("f.kind").alias("kind"), read_tokens(F.col("f.w")).alias("t"))
+        own = F.get(F.filter("t", lambda x: x["kind"] == F.col("kind")), F.lit(0))
+        return read.select("k", "kind", F.array_join(F.transform("t", lambda x: x["spoken"]), "").alias("spoken"), own["code"].alias("code"), "n")
+
+    run.__name__ = f"kinds_{family}"
+    return run
+
+
+def _kinds_sql(family: str) -> str:
+    out = []
+    for kind in _FAMILIES[family]:
+        written, spoken, code = _KINDS[kind]
+        code = f"'{code}'" if code else "CAST(NULL AS VARCHAR)"
+        out.append(f"SELECT k, '{kind}' AS kind, {spoken or written.replace('VARCHAR(9)', 'VARCHAR')} AS spoken, {code} AS code, n FROM g")
+    return "WITH g AS (SELECT p_size AS k, count(*) AS n FROM part GROUP BY 1) " + " UNION ALL ".join(out)
+
+
+def protected_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' own addresses inside a sentence: found as one piece, the particle left out."""
+    p = dealt(_read(spark, sf_dir, "pages").select("page_id", "url"), "page_id").where("url is not null")
+    text = F.concat(F.lit("주소 "), F.col("url"), F.lit("에서 7개"))
+    found = p.select("page_id", protected(guarded(text)).alias("p"), normalize(text).alias("spoken"))
+    return found.select("page_id", unguarded(F.get("p", F.lit(1))).alias("kept"), "spoken")
+
+
+#: Addresses end in front of blanks and brackets; trailing marks of a sentence are not part of them.
+_URL_SQL = """
+WITH u AS (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://[^\\s<>\\[\\]{}]+'), '[.,!?;:"'']+$', '') AS kept, url FROM pages WHERE url IS NOT NULL)
+SELECT page_id, kept, '주소 ' || url || '에서 일곱 개' AS spoken FROM u
+"""
+
+
+def protected_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline code, a path and an address around a number that is read."""
+    p = dealt(_read(spark, sf_dir, "part").groupBy(F.col("p_size").alias("k")).agg(F.count("*").alias("n")), "k")
+    text = F.concat(F.lit("`"), "k", F.lit("개` C:\\a\\"), "k", F.lit(".txt를 "), "k", F.lit("개 ./x/"), "k", F.lit(".py에서 a"), "k", F.lit("@b.co로"))
+    pieces = F.filter(F.transform(protected(guarded(text)), lambda x, i: F.when(i % 2 == 1, x)), lambda x: x.isNotNull())
+    return p.select("k", F.array_join(pieces, " | ").alias("kept"), normalize(text).alias("spoken"), "n")
+
+
+_CODE_SQL = f"""
+WITH g AS (SELECT p_size AS k, count(*) AS n FROM part GROUP BY 1)
+SELECT k, '`' || k || '개` | C:\\a\\' || k || '.txt | ./x/' || k || '.py | a' || k || '@b.co' AS kept,
+  '`' || k || '개` C:\\a\\' || k || '.txt를 ' || {native('k')} || ' 개 ./x/' || k || '.py에서 a' || k || '@b.co로' AS spoken, n FROM g
+"""
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Handlers of the segments of text that mixes scripts, and what is reported."""
+    p = dealt(_read(spark, sf_dir, "part").groupBy(F.col("p_size").alias("k")).agg(F.count("*").alias("n")), "k")
+    text = F.concat(F.lit("국물 Hello "), "k", F.lit(" GPT-"), "k", F.lit("o 東京 жця 가🙂 C++"))
+    d = p.select("k", "n", g2p_detail(text).alias("d"))
+    joined = lambda c: F.array_join(F.transform("d.segments", lambda s: s[c]), ",")
+    reports = F.transform("d.diagnostics", lambda x: F.concat_ws(":", x["code"], x["start"].cast("string"), x["end"].cast("string"), x["stage"]))
+    return d.select("k", F.col("d.surface_pronunciation").alias("sound"), joined("handler").alias("handlers"), F.array_join(reports, ",").alias("reports"), F.col("d.complete").alias("complete"), "n")
+
+
+_ROUTED_SQL = """
+WITH g AS (SELECT p_size AS k, length(CAST(p_size AS VARCHAR)) AS w, count(*) AS n FROM part GROUP BY 1, 2)
+SELECT k, '궁물 에이치이에레로 ' || k || ' GPT-' || k || 'o 東京 жця 가🙂 C++' AS sound,
+  'korean,korean,english,korean,numeric,korean,numeric,korean,korean,korean,korean,korean,korean,korean,english' AS handlers,
+  concat_ws(',', 'unconverted_latin:' || (10 + w) || ':' || (15 + 2 * w) || ':lexical', 'unconverted_han:' || (16 + 2 * w) || ':' || (18 + 2 * w) || ':lexical',
+    'unsupported_script:' || (19 + 2 * w) || ':' || (22 + 2 * w) || ':lexical', 'unsupported_emoji:' || (24 + 2 * w) || ':' || (25 + 2 * w) || ':validation',
+    'unconverted_latin:' || (26 + 2 * w) || ':' || (29 + 2 * w) || ':lexical') AS reports,
+  false AS complete, n
+FROM g
+"""
+
+
+def sound_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rule changed what, and where, in readings of sizes before 밀리리터."""
+    p = dealt(_read(spark, sf_dir, "part").groupBy(F.col("p_size").alias("k")).agg(F.count("*").alias("n")), "k").where("k between 41 and 49")
+    d = p.select("k", "n", g2p_detail(F.concat(num.read_sino(F.col("k").cast("string")), F.lit("만"))).alias("d"))
+    rules = F.transform("d.rewrites", lambda r: F.concat_ws(":", r["rule_id"], r["start"].cast("string"), r["end"].cast("string"), r["before"], r["after"]))
+    return d.select("k", F.array_join(rules, ",").alias("rules"), "n")
+
+
+_SOUND_SQL = """
+WITH g AS (SELECT p_size AS k, count(*) AS n FROM part WHERE p_size BETWEEN 41 AND 49 GROUP BY 1)
+SELECT k, CASE k
+  WHEN 41 THEN 'ko.liaison.single:1:3:십일:시빌'
+  WHEN 42 THEN 'ko.liaison.single:1:3:십이:시비'
+  WHEN 43 THEN 'ko.tensification:1:3:십삼:십쌈'
+  WHEN 44 THEN 'ko.tensification:1:3:십사:십싸'
+  WHEN 45 THEN 'ko.liaison.single:1:3:십오:시보'
+  WHEN 46 THEN 'ko.n_insertion.numeral:1:3:십육:십뉵,ko.nasalization:1:3:십뉵:심뉵,ko.nasalization:2:4:뉵만:늉만'
+  WHEN 47 THEN ''
+  WHEN 48 THEN ''
+  WHEN 49 THEN 'ko.tensification:1:3:십구:십꾸'
+  END AS rules, n FROM g
+"""
+#: A small model: how many digits, the unit, and the word behind decide.
+_MODEL = {
+    "schema_version": 2,
+    "feature_version": 3,
+    "classes": list(classify.CLASSES),
+    "bias": [0.25, 0.0, -0.5],
+    "weights": {"u=번": [0.5, 1.0, 0.0], "nf=문제/NNG": [-1.0, 2.0, 0.0], "len=1": [1.5, 0.0, 0.0], "len=4": [0.0, 0.0, 3.0], "eos=1": [0.0, 0.0, 0.25]},
+    "thresholds": {"sino": {"unit": 0.6}, "digitwise": {"unit": 0.5, "bare": 0.5}},
+}
+_TOKEN = "array<struct<form:string,tag:string,start:int,end:int>>"
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, n, text, tokens): keys before 번, every third one before 문제 as well, with what an analyzer says."""
+    o = dealt(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
+    w = F.length(F.col("k").cast("string"))
+    more = F.col("k") % 3 == 0
+    token = lambda form, tag, start, size: F.struct(form.alias("form"), F.lit(tag).alias("tag"), start.cast("int").alias("start"), (start + size).cast("int").alias("end"))
+    base = F.array(token(F.col("k").cast("string"), "SN", F.lit(0), w), token(F.lit("번"), "NNB", w, F.lit(1)))
+    tokens_ = F.when(more, F.concat(base, F.array(token(F.lit("문제"), "NNG", w + 2, F.lit(2))))).otherwise(base)
+    return o.select("k", F.concat("k", F.when(more, "번 문제").otherwise("번")).alias("text"), tokens_.cast(_TOKEN).alias("tokens"))
+
+
+def class_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a number in its sentence and what the model makes of them."""
+    c = _numbered(spark, sf_dir)
+    w = F.length(F.col("k").cast("string"))
+    f = classify.features(F.col("tokens"), F.col("text"), F.lit(0), w, w + 1, F.lit("번"))
+    c = c.select("k", f.alias("f")).select("k", "f", classify.probabilities(F.col("f"), _MODEL).alias("p"), classify.decide(F.col("f"), "unit", "native", _MODEL).alias("choice"))
+    return c.select("k", F.array_join("f", " ").alias("features"), *[F.round(F.get("p", F.lit(i)), 9).alias(x) for i, x in enumerate(classify.CLASSES)], "choice")
+
+
+_CLASS_SQL = """
+WITH f AS (SELECT c_custkey AS k, length(CAST(c_custkey AS VARCHAR)) AS w, c_custkey % 3 = 0 AS more FROM customer),
+s AS (SELECT *, 0.75 + CASE WHEN more THEN -1.0 ELSE 0 END + CASE WHEN w = 1 THEN 1.5 ELSE 0 END AS a,
+  1.0 + CASE WHEN more THEN 2.0 ELSE 0 END AS b, -0.5 + CASE WHEN w = 4 THEN 3.0 ELSE 0 END + CASE WHEN more THEN 0 ELSE 0.25 END AS c FROM f),
+p AS (SELECT *, exp(a) / (exp(a) + exp(b) + exp(c)) AS pa, exp(b) / (exp(a) + exp(b) + exp(c)) AS pb, exp(c) / (exp(a) + exp(b) + exp(c)) AS pc FROM s)
+SELECT k, concat_ws(' ', 'len=' || w, 'u=번', CASE WHEN w < 3 THEN 'v=' || k END, CASE WHEN w < 3 THEN 'uv=번:' || k END, 'sf=번/NNB', 'st=NNB',
+    CASE WHEN more THEN 'nf=문제/NNG nt=NNG nc1=문제/NNG un=번|문제/NNG ln=' || w || '|문제/NNG' ELSE 'eos=1' END, 'bos=1') AS features,
+  round(pa, 9) AS native, round(pb, 9) AS sino, round(pc, 9) AS digitwise,
+  CASE WHEN pb > pa AND pb > pc AND pb >= 0.6 THEN 'sino' WHEN pc > pa AND pc > pb AND pc >= 0.5 THEN 'digitwise' END AS choice
+FROM p
+"""
+
+
+def class_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the same sentences, read as the model decides."""
+    c = _numbered(spark, sf_dir).select("k", normalize(F.col("text"), analysis=F.col("tokens"), model=_MODEL).alias("spoken"))
+    return c
+
+
+#: Before 문제 a numbered item is Sino-Korean whatever the model says.
+_READINGS_SQL = f"""
+WITH p AS ({_CLASS_SQL})
+SELECT k, CASE WHEN k % 3 = 0 THEN {sino('k')} || ' 번 문제' WHEN choice = 'sino' THEN {sino('k')} || ' 번'
+  WHEN choice = 'digitwise' THEN {digits('CAST(k AS VARCHAR)', t.PHONE_DIGITS, ' ')} || ' 번' ELSE {native('k')} || ' 번' END AS spoken FROM p
+"""
+
+_ENTRIES = {"FRANCE": "프랑스", "GERMANY": "독일", "JAPAN": "일본", "CHINA": "중국", "NA": "엔에이", "3개와": "석 점과"}
+
+
+def lexicon_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations with a few in the lexicon: in the scan, and by the automaton."""
+    n = _read(spark, sf_dir, "nation").select("n_name", F.concat("n_name", F.lit("의 3개와 13개")).alias("text"))
+    found = lexicon.with_matches(n, "text", _ENTRIES).select("n_name", F.col("text"), "matches")
+    return found.select("n_name", lexicon.normalize_with(F.col("text"), _ENTRIES).alias("spoken"), lexicon.normalize_matched(F.col("text"), F.col("matches")).alias("by_join"))
+
+
+_LEXICON_SQL = (
+    "WITH r AS (SELECT n_name, CASE n_name "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ENTRIES.items() if k.isalpha() and k.isascii())
+    + " ELSE n_name END || '의 석 점과 열세 개' AS spoken FROM nation) SELECT n_name, spoken, spoken AS by_join FROM r"
+)
+
+
+def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon of any size, as a table: the first word of a part's name."""
+    p = _read(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    table = p.select(F.col("word").alias("key"), num.spell_letters(F.col("word")).alias("value")).where(F.length("word") > 4)
+    return lexicon.lookup(p, "word", table, "reading").select("word", "reading", "n")
+
+
+_LOOKUP_SQL = f"""
+WITH p AS (SELECT split_part(p_name, ' ', 1) AS word, count(*) AS n FROM part GROUP BY 1)
+SELECT word, CASE WHEN length(word) > 4 THEN array_to_string([{_sql_list(_NAMES)}[unicode(c) - 96] FOR c IN string_split(lower(word), '') IF unicode(c) BETWEEN 97 AND 122], '') END AS reading, n FROM p
+"""
+
+
+def odd_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control, private and reserved characters come back as they were, and the rest is read."""
+    p = dealt(_read(spark, sf_dir, "part").groupBy(F.col("p_size").alias("k")).agg(F.count("*").alias("n")), "k")
+    odd = F.lit("\x01\x02\x03\x04\x1f\ue001\ue01f\ufdd0\ufdd8")
+    text = F.concat(odd, F.lit("가 "), "k", F.lit("개 "), odd, F.repeat(F.lit(" "), 2000), F.lit("국물"))
+    return p.select("k", F.hex(normalize(text)).alias("spoken"), F.hex(g2p(text)).alias("sound"), "n")
+
+
+_ODD = "chr(1) || chr(2) || chr(3) || chr(4) || chr(31) || chr(57345) || chr(57375) || chr(64976) || chr(64984)"
+_ODD_SQL = f"""
+WITH g AS (SELECT p_size AS k, count(*) AS n FROM part GROUP BY 1), w AS (SELECT k, n, {_ODD} || '가 ' AS a, {native('k')} AS w, {_COUNT_SOUND} AS sw, ' ' || {_ODD} || repeat(' ', 2000) AS b FROM g)
+SELECT k, hex(encode(a || w || ' 개' || b || '국물')) AS spoken, hex(encode(a || sw || b || '궁물')) AS sound, n FROM w
+"""
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of samples, with the events' values for seconds."""
+    e = _read(spark, sf_dir, "events").select("event_type", F.col("value").alias("seconds"), F.col("event_id").alias("peak_bytes"), F.col("user_id").alias("allocated_bytes"))
+    s = measure.summary(e, "event_type")
+    return s.select("event_type", "iterations", "seconds_min", F.round("seconds_mean", 6).alias("seconds_mean"), F.round("seconds_median", 6).alias("seconds_median"), "seconds_max", "peak_bytes_max", F.round("allocated_bytes_mean", 6).alias("allocated_bytes_mean"))
+
+
+_MEASURED_SQL = """
+SELECT event_type, count(*) AS iterations, min(value) AS seconds_min, round(avg(value), 6) AS seconds_mean, round(median(value), 6) AS seconds_median,
+  max(value) AS seconds_max, max(event_id) AS peak_bytes_max, round(avg(user_id), 6) AS allocated_bytes_mean FROM events GROUP BY event_type
+"""
+
+
+def sized_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of exact length from the names of nations."""
+    sizes = spark.createDataFrame([(s,) for s in measure.SIZES], "size int")
+    n = _read(spark, sf_dir, "nation").join(sizes)
+    return n.select("n_name", "size", F.md5(measure.corpus(F.col("n_name"), F.col("size"))).alias("digest"))
+
+
+_CORPORA_SQL = "SELECT n_name, size, md5(substr(repeat(n_name, size), 1, size)) AS digest FROM nation, (SELECT CAST(unnest([100, 1000, 10000]) AS INT) AS size)"
+
+
+def character_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of characters over a range of code points."""
+    p = _read(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(2000)).cast("int").alias("k")).distinct()
+    c = F.decode(F.unhex(F.lpad(F.hex((F.col("k") + 0xABF0).cast("long")), 4, "0")), "UTF-16BE")
+    return p.select("k", hangul.character_kind(c).alias("kind"), hangul.is_syllable(c).alias("syllable"))
+
+
+_CHARACTER_SQL = """
+WITH p AS (SELECT DISTINCT CAST(p_partkey % 2000 AS INT) AS k FROM part)
+SELECT k, CASE WHEN k + 44016 >= 44032 THEN 'HANGUL' WHEN k + 44016 BETWEEN 44016 AND 44025 THEN 'NUMBER'
+  WHEN k + 44016 IN (44014, 44015, 44026, 44027, 44028, 44029, 44030, 44031) THEN 'OTHER' ELSE 'UNSUPPORTED' END AS kind, k + 44016 >= 44032 AS syllable FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found: dict = {name: _spoken_query(name) for name in _SPOKEN}
+    found: dict = {name: _spoken_query(name) for name in _SPOKEN} | {f"kinds_{family}": _kinds_query(family) for family in _FAMILIES}
     found |= {
         "num_sino": _column_query("orders", "o_orderkey", num.read_sino),
         "num_native": _column_query("part", "p_size", num.read_native),
@@ -288,12 +640,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "g2p_counters": g2p_percent,
         "events_by_hour": events_by_hour,
         "uni_nfc_map": compose_jamo,
+        "prt_urls": protected_urls,
+        "prt_code": protected_code,
+        "rte_segments": routed,
+        "pho_rules": sound_rules,
+        "cls_probabilities": class_probabilities,
+        "cls_readings": class_readings,
+        "tok_lexicon": lexicon_readings,
+        "lex_lookup": lexicon_lookup,
+        "tok_odd_characters": odd_characters,
+        "agg_summary": measured,
+        "agg_corpora": sized_corpora,
+        "flt_characters": character_kinds,
     }
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: _spoken_sql(name) for name in _SPOKEN}
+    found = {name: _spoken_sql(name) for name in _SPOKEN} | {f"kinds_{family}": _kinds_sql(family) for family in _FAMILIES}
     return found | {
         "num_sino": _column_sql("orders", "o_orderkey", sino("o_orderkey")),
         "num_native": _column_sql("part", "p_size", native("p_size")),
@@ -308,4 +672,17 @@ def oracle_sql() -> dict[str, str]:
         "pho_pairs": _PAIR_SQL,
         "events_by_hour": _HOUR_SQL,
         "uni_nfc_map": _JAMO_SQL,
+        "g2p_counters": _G2P_SQL,
+        "prt_urls": _URL_SQL,
+        "prt_code": _CODE_SQL,
+        "rte_segments": _ROUTED_SQL,
+        "pho_rules": _SOUND_SQL,
+        "cls_probabilities": _CLASS_SQL,
+        "cls_readings": _READINGS_SQL,
+        "tok_lexicon": _LEXICON_SQL,
+        "lex_lookup": _LOOKUP_SQL,
+        "tok_odd_characters": _ODD_SQL,
+        "agg_summary": _MEASURED_SQL,
+        "agg_corpora": _CORPORA_SQL,
+        "flt_characters": _CHARACTER_SQL,
     }

@@ -1,26 +1,59 @@
 import unicodedata
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sorimill.functions.composed import composed, in_source, nfc, nfc_mapped, snapped, source_span
+from sorimill.functions.composed import nfc, nfc_mapped, snapped, source_span
 from sorimill.operators.normalize import convert, normalize
 
+
+def composed(text):
+    """Clusters composed one by one: a character, or letters of a syllable, with the marks behind it."""
+    out, spans, rewrites, at = [], [], [], 0
+    while at < len(text):
+        end = at + 1
+
+        def marks():
+            nonlocal end
+            while end < len(text) and unicodedata.combining(text[end]):
+                end += 1
+
+        marks()
+        whole = "\uac00" <= text[at] <= "\ud7a3"
+        lead = "\u1100" <= text[at] <= "\u115f"
+        open_ = whole and (ord(text[at]) - 0xAC00) % 28 == 0
+        if lead and end < len(text) and "\u1160" <= text[end] <= "\u11a7":
+            end += 1
+            marks()
+            open_ = True
+        if open_ and end < len(text) and "\u11a8" <= text[end] <= "\u11ff":
+            end += 1
+            marks()
+        before, place = text[at:end], {"start": at, "end": end}
+        after = unicodedata.normalize("NFC", before)
+        out.append(after)
+        spans += [place] * len(after)
+        if after != before:
+            rewrites.append(place | {"before": before, "after": after})
+        at = end
+    return {"text": "".join(out), "spans": spans, "rewrites": rewrites}
+
+
 NFD = lambda s: unicodedata.normalize("NFD", s)
 TEXTS = ["", "plain é 국물", NFD("국물 3개"), "éa", "각나", "ᄀ", "ᆨᅡ", "á̧b", "Å", "q́", "́x", None]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("ab가각나ȩ́́각゙かÅ̈́क़")))
-def test_clusters(text):
-    got = composed(text)
-    assert unicodedata.normalize("NFC", got["text"]) == unicodedata.normalize("NFC", text)
-    assert len(got["spans"]) == len(got["text"])
-    places = list(dict.fromkeys((s["start"], s["end"]) for s in got["spans"]))
-    assert "".join(text[a:b] for a, b in places) == text
-    assert all(text[r["start"] : r["end"]] == r["before"] != r["after"] for r in got["rewrites"])
+ALPHABET = "ab가각나ȩ\u0301\u1100\u1161\u11a8\u0327각\u3099か\u3099Å\u0308क़"
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.sampled_from(ALPHABET), max_size=12), min_size=200, max_size=200))
+def test_clusters(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    for r in rows.select("x", nfc_mapped(F.col("x")).alias("m")).collect():
+        assert r.m.asDict(True) == composed(r.x)
 
 
 @pytest.fixture(scope="module")
@@ -55,8 +88,12 @@ def test_ranges(spark):
 
 def test_engine_on_decomposed_text(spark):
     text = NFD("사과 3개")
-    rows = spark.createDataFrame([(text,)], "x string").withColumn("m", nfc_mapped(F.col("x")))
-    rows = rows.withColumn("r", convert(F.col("m.text"))["rewrites"])
-    got = rows.select(normalize(F.col("m.text")).alias("n"), in_source(F.col("r"), F.col("m")).alias("r")).first()
-    assert got.n == "사과 세 개"
-    assert [(text[r.start : r.end], r.after) for r in got.r] == [(NFD("3개"), "세 개")]
+    got = spark.createDataFrame([(text,)], "x string").select(normalize(F.col("x")).alias("n"), convert(F.col("x")).alias("c")).first()
+    assert got.n == got.c.normalized_text == "사과 세 개" and got.c.complete and got.c.source == text
+    spoken = [r for r in got.c.rewrites if r.stage == "verbalization"]
+    assert [(text[r.start : r.end], r.before, r.after) for r in spoken] == [(NFD("3개"), "3개", "세 개")]
+    composed_ = [r for r in got.c.rewrites if r.stage == "unicode"]
+    assert [(text[r.start : r.end], r.after) for r in composed_] == [(NFD(c), c) for c in "사과개"]
+    # a computed text, too
+    twice = spark.createDataFrame([("3개",)], "x string").select(convert(normalize(F.col("x")))["normalized_text"].alias("n")).first()
+    assert twice.n == "세 개"
