@@ -16,20 +16,28 @@ from .numbers import let
 
 _LEAD, _VOWEL, _TAIL = r"\x{1100}-\x{115F}\x{A960}-\x{A97C}", r"\x{1160}-\x{11A7}\x{D7B0}-\x{D7C6}", r"\x{11A8}-\x{11FF}\x{D7CB}-\x{D7FB}"
 _OPEN = "".join(map(chr, range(0xAC00, 0xD7A4, 28)))
-#: Composition leaves characters below U+0300 and whole syllables as they are.
-_PLAIN = r"^[\x{00}-\x{2FF}가-힣]*$"
-
 SPAN = "struct<start:int,end:int>"
 REWRITE = "struct<start:int,end:int,before:string,after:string>"
 
 
+def _ranges(characters: list[int]) -> str:
+    """Characters, in order, as ranges for a pattern."""
+    starts = [c for i, c in enumerate(characters) if i == 0 or characters[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(characters) if i == len(characters) - 1 or characters[i + 1] != c + 1]
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends))
+
+
 @cache
 def combining() -> str:
-    """The characters with a combining class, as ranges for a pattern."""
-    found = [c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))]
-    starts = [c for i, c in enumerate(found) if i == 0 or found[i - 1] != c - 1]
-    ends = [c for i, c in enumerate(found) if i == len(found) - 1 or found[i + 1] != c + 1]
-    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends))
+    """The characters with a combining class."""
+    return _ranges([c for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))])
+
+
+@cache
+def _may_change() -> str:
+    """What a text must hold to be changed: marks, letters of syllables, characters that stand for others."""
+    others = [c for c in range(0x300, 0x30000) if not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFC", chr(c))]
+    return rf"[\p{{M}}{_LEAD}{_VOWEL}{_TAIL}{_ranges(others)}]"
 
 
 @cache
@@ -40,8 +48,8 @@ def _cluster() -> str:
 
 
 def _composed(text: Column) -> Column:
-    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    return F.when(~text.rlike(_PLAIN), composed).otherwise(text)
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False))
+    return F.when(text.rlike(_may_change()), composed).otherwise(text)
 
 
 def nfc(text: Column) -> Column:
@@ -69,7 +77,7 @@ def nfc_mapped(text: Column) -> Column:
 
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"), none(SPAN).alias("spans"), none(REWRITE).alias("rewrites"))
         mapped = F.aggregate(clusters, start, step, lambda acc: F.struct(*[acc[f].alias(f) for f in ("text", "spans", "rewrites")]))
-        return F.when(x.rlike(f"[{combining()}{_LEAD}{_TAIL}]") | (_composed(x) != x), mapped).when(x.isNotNull(), same)
+        return F.when(x.rlike(_may_change()), mapped).when(x.isNotNull(), same)
 
     return let(text, result)
 

@@ -44,14 +44,11 @@ def g2p(
 
     def sounded(x: Column) -> Column:
         if analysis is None:
-            return unguarded(F.translate(phonology.pronounce(route.walled_text(guarded(x))), WALL + UNWALL, ""))
-        return _analyzed(x, analysis)
+            return F.when(x.isNotNull(), unguarded(F.translate(phonology.pronounce(route.walled_text(guarded(x))), WALL + UNWALL, "")))
+        return F.when(x.isNotNull(), _analyzed(x, analysis))
 
-    def build(source: Column) -> Column:
-        spoken = spoken_form(source, max_length, lexicon=lexicon) if normalize else nfc(checked(source, max_length))
-        return let(spoken, lambda x: F.when(x.isNotNull(), sounded(x)))
-
-    return build(text) if analysis is not None else _once(_key("g2p", normalize, max_length, lexicon), text, build)
+    spoken = spoken_form(text, max_length, lexicon=lexicon) if normalize else nfc(checked(text, max_length))
+    return let(spoken, sounded) if analysis is not None else _once("sounded", spoken, sounded)
 
 
 def _walls(segs: Column) -> Column:

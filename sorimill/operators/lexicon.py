@@ -87,7 +87,7 @@ def pattern(keys) -> str:
 
 def inline(entries: Mapping[str, str]) -> tuple[str, Column]:
     """(pattern, readings) of entries that go into the scan."""
-    entries = compiled(SparkSession.getActiveSession(), entries)
+    entries = compiled(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), entries)
     if len(entries) > MAX_INLINE:
         raise ValueError(f"more than {MAX_INLINE} entries: use with_matches() and normalize_matched()")
     first = "".join(sorted({re.escape(k[0]) for k in entries}))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar as g
@@ -283,25 +283,44 @@ def read_tokens(text: Column) -> Column:
     def shown(s: Column) -> Column:
         return F.struct(s["kind"].alias("kind"), unguarded(s["token"]).alias("token"), unguarded(s["spoken"]).alias("spoken"), s["rule"].alias("rule"), s["code"].alias("code"))
 
-    return _once("read_tokens", text, lambda source: let(nfc(source), lambda x: F.transform(spoken_tokens(x, detail=True), shown)))
+    return _once("read_tokens", nfc(text), lambda x: F.transform(spoken_tokens(x, detail=True), shown))
 
 
 _BUILT: dict = {}
 
 
 def _once(name, text: Column, build) -> Column:
-    """The expression that ``build`` makes of a column, kept for the session: it has
-    thousands of nodes, each a call into the JVM."""
+    """The expression that ``build`` makes of a column, analysed once a session.
+
+    It has thousands of nodes, each a call into the JVM, and lambdas in lambdas, each a
+    round of the analyzer. So it is made of a column of its own; what the analyzer makes
+    of it is kept, and other columns are put in that one's place.
+    """
     context = SparkContext._active_spark_context
-    key = (name, text._jc.toString()) if context is not None and hasattr(text, "_jc") else None
-    if key is None:
+    if context is None or not hasattr(text, "_jc"):
         return build(text)
     if _BUILT.get("context") is not context:
         _BUILT.clear()
         _BUILT["context"] = context
-    if key not in _BUILT:
-        _BUILT[key] = build(text)
-    return _BUILT[key]
+    if name not in _BUILT:
+        _BUILT[name] = _analysed(lambda x: let(x, build))
+    return _in_place(_BUILT[name], text, context)
+
+
+def _analysed(build):
+    """The analysed expression of ``let(x, ..)`` over a string column x: an item of a transformed array."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()  # threads have no active one
+    frame = spark.range(0).select(F.lit(None).cast("string").alias("x")).select(build(F.col("x")).alias("y"))
+    return frame._jdf.queryExecution().analyzed().expressions().head().child()
+
+
+def _in_place(item, text: Column, context: SparkContext) -> Column:
+    jvm = context._jvm
+    tools, seq = jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.PythonUtils.toSeq
+    whole, at = item.children().head(), item.children().last()
+    array, function = whole.children().head(), whole.children().last()
+    whole = whole.withNewChildren(seq([array.withNewChildren(seq([tools.expression(text._jc)])), function]))
+    return Column(tools.column(item.withNewChildren(seq([whole, at]))))
 
 
 def _joined(stream: Column) -> Column:
@@ -360,10 +379,8 @@ def normalize(
         read = checked(_joined(spoken_tokens(x, lexicon=own, context=context)), most, "spoken text")
         return (F.when(x.isNull(), None) if own else F.when(is_plain_korean(x), x)).when(x.isNotNull(), read)
 
-    def build(source: Column) -> Column:
-        return let(nfc(checked(source, max_length)), spoken)
-
-    return build(text) if context else _once(_key("normalize", max_length, most, lexicon), text, build)
+    composed = nfc(checked(text, max_length))  # outside of what is analysed once, so that one may group by the result
+    return let(composed, spoken) if context else _once(_key("normalize", most, lexicon), composed, spoken)
 
 
 def convert(
