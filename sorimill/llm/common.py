@@ -106,14 +106,20 @@ def null_first_less(a, b):
     return F.when(b.isNull(), F.lit(False)).when(a.isNull(), F.lit(True)).otherwise(a < b)
 
 
-#: Rows up to which a side of at most a few short columns is broadcast.
+#: Rows and bytes up to which a side is broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``limit`` rows.
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``limit`` rows of ``most`` bytes in all.
 
-    Meant for written tables of a few short columns, where counting is cheap.
-    Beyond the limit the plain join shuffles; the rows are the same.
+    Meant for written tables of a few short columns, where counting is cheap. Columns
+    of no fixed width are measured as text. Beyond the limits the plain join shuffles;
+    the rows are the same.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    loose = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    width = 16 * len(df.columns)
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in loose])))) if loose else F.lit(0)
+    n, measured = df.limit(limit + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= limit and n * width + (measured or 0) <= most else df

@@ -6,9 +6,10 @@ names (capitalised words inside a sentence); and as templates where every
 capitalised word is a placeholder, as a name may open a sentence. Windows of
 ``window`` words of each reading are hashed and joined with those of the benchmark
 items. A window equal as it is is a copy, whatever its case and punctuation. One
-equal as a template counts only if, along its alignment (the same offset between
-document and item), every value of the item is replaced by one value
-throughout: a re-parameterised question. An item is found in a document when at
+equal as a template counts only if, in the whole copy that it belongs to (windows of
+the item near each other and in order, whatever the length of what is replaced), every
+value of the item is replaced by one value throughout, and no two names by the same
+one: a re-parameterised question. An item is found in a document when at
 least ``share`` of its windows, or ``run`` of them, are, in any reading.
 
 Only the windows' hashes are exploded; the words at the placeholders are looked
@@ -26,20 +27,46 @@ empty table on either side gives no rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, small
 
-#: Unit words behind a number.
-UNITS = (
-    "kg g mg lb lbs oz ton tons km m cm mm mi mile miles ft foot feet inch inches yard yards l ml liter liters litre litres "
-    "gallon gallons second seconds sec minute minutes min hour hours hr day days week weeks month months year years "
-    "dollar dollars cent cents euro euros percent degree degrees mph kmh watt watts volt volts byte bytes mb gb"
-).split()
+#: Unit words behind a number, in English, German, French and Spanish.
+UNITS = sorted(
+    set(
+        (
+            "kg g mg lb lbs oz ton tons km m cm mm mi mile miles ft foot feet inch inches yard yards l ml liter liters litre litres "
+            "gallon gallons second seconds sec minute minutes min hour hours hr day days week weeks month months year years "
+            "dollar dollars cent cents euro euros percent degree degrees mph kmh watt watts volt volts byte bytes mb gb kilo kilos "
+            "kilogramm gramm tonne tonnen meter metern zentimeter kilometer kilometern millimeter sekunde sekunden minuten stunde stunden "
+            "tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad "
+            "kilogramme kilogrammes gramme grammes tonnes mètre mètres centimètre centimètres kilomètre kilomètres seconde secondes heure heures "
+            "jour jours semaine semaines mois an ans année années degré degrés "
+            "kilogramo kilogramos gramo gramos tonelada toneladas metro metros centímetro centímetros kilómetro kilómetros litro litros "
+            "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares grado grados"
+        ).split()
+    )
+)
+#: Number words from two on, in the same languages.
+NUMBERS = sorted(
+    set(
+        (
+            "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+            "thirty forty fifty sixty seventy eighty ninety hundred thousand "
+            "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+            "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille "
+            "dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien mil"
+        ).split()
+    )
+)
 
 #: Marks in front of a capitalised word: inside a sentence; anywhere else, where it may be a name.
 NAME, MAYBE = "\u0001", "\u0002"
 
+#: Windows found by their template that are broadcast to look up their words, at most.
+SLOTTED = 200_000
+
 
 def _tokens(text: Column) -> Column:
     """Words in lower case; a name has NAME in front, another capitalised word MAYBE."""
@@ -53,16 +80,16 @@ def _tokens(text: Column) -> Column:
 
 
 def _is_number(w: Column) -> Column:
-    return (w >= "0") & (w < ":")
+    return ((w >= "0") & (w < ":")) | w.isin(NUMBERS)
 
 
 def _slots(marked: Column, words: Column) -> Column:
     """For each token its placeholder, or null for a plain word."""
     return F.transform(
         marked,
-        lambda w, i: F.when(_is_number(w), F.lit("<num>"))
-        .when(F.startswith(w, F.lit(NAME)), F.lit("<name>"))
-        .when(F.get(words, i).isin(UNITS) & (i > 0) & _is_number(F.get(words, i - 1)), F.lit("<unit>")),
+        lambda w, i: F.when(_is_number(F.get(words, i)), F.lit("<num>"))
+        .when(F.get(words, i).isin(UNITS) & (i > 0) & _is_number(F.get(words, i - 1)), F.lit("<unit>"))
+        .when(F.startswith(w, F.lit(NAME)), F.lit("<name>")),
     )
 
 
@@ -74,7 +101,7 @@ def _templates(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     df = df.select(*keys, _tokens(F.col(text)).alias("marked"))
     df = df.select(*keys, "marked", F.transform("marked", lambda w: F.translate(w, NAME + MAYBE, "")).alias("tokens"))
     df = df.select(*keys, "marked", "tokens", _slots(F.col("marked"), F.col("tokens")).alias("slots1"))
-    any_name = F.zip_with("marked", "slots1", lambda w, s: F.when(F.startswith(w, F.lit(MAYBE)), F.lit("<name>")).otherwise(s))
+    any_name = F.zip_with("marked", "slots1", lambda w, s: F.coalesce(s, F.when(F.startswith(w, F.lit(MAYBE)), F.lit("<name>"))))
     df = df.select(*keys, "tokens", "slots1", any_name.alias("slots2"), F.transform("tokens", lambda w: F.xxhash64(w)).alias("h0"))
     slotted = [F.zip_with("h0", f"slots{r}", lambda h, s: F.when(s.isNull(), h).otherwise(F.xxhash64(s))).alias(f"h{r}") for r in (1, 2)]
     return df.select("*", *slotted)
@@ -127,9 +154,9 @@ def find_leaks(
             if r:  # where a reading has no slots of its own, the one before has the window
                 own = own.where(F.col("differs") & (F.size(F.filter("islots", lambda s: s.isNull())) >= min(size, literals))).drop("differs")
             parts = own if parts is None else parts.unionByName(own)
-    schema = "doc_id long, text_hash long, item_id long, windows long, found long, score double"
     if parts is None:
-        return docs.sparkSession.createDataFrame([], schema)
+        nothing = docs.where("false").crossJoin(items.where("false").select("item_id"))  # of the ids' own types, without rows
+        return nothing.select("doc_id", F.lit(0).cast("long").alias("text_hash"), "item_id", F.lit(0).cast("long").alias("windows"), F.lit(0).cast("long").alias("found"), F.lit(0.0).alias("score"))
     parts = cut(parts)
 
     keyed = docs.where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
@@ -146,31 +173,33 @@ def find_leaks(
     good = hits.where("reading = 0")
     slotted = hits.where("reading > 0")
     if not slotted.isEmpty():
-        lookup = cut(
-            slotted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("pos", "size", "item_id", "ipos", "windows", "shift", "reading")).alias("at"))
-        )
+        # hits of one document and item, in order, are copies: a new one begins far off, or back at the item's begin
+        pair = W.partitionBy("doc_id", "text_hash", "item_id", "reading").orderBy("pos", "ipos")
+        ahead = F.col("pos") - F.lag("pos").over(pair) > F.col("windows") + 2 * F.col("size")
+        back = F.lag("ipos").over(pair) - F.col("ipos") >= F.greatest(F.lit(1), F.floor(F.col("windows") / 2))
+        slotted = slotted.withColumn("copy", F.sum(F.when(ahead | back, 1).otherwise(0)).over(pair))
+        slotted = cut(slotted.select("doc_id", "text_hash", "item_id", "pos", "size", "ipos", "windows", "shift", "reading", "copy"))
         d = hashed.select("doc_id", "text_hash", "tokens").dropDuplicates(["doc_id", "text_hash"]).alias("d")
-        l = small(lookup, 100_000).alias("l")
+        l = small(slotted, SLOTTED).alias("l")
         same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.text_hash") == F.col("l.text_hash"))
-        seen = d.join(l, same).select("d.doc_id", "d.text_hash", "tokens", F.explode("at").alias("a")).select(
-            "doc_id", "text_hash", "a.*", F.expr("slice(tokens, a.pos + 1, a.size)").alias("dtokens")
-        )
+        seen = d.join(l, same).select(*[F.col(f"l.{c}") for c in slotted.columns], F.expr("slice(tokens, l.pos + 1, l.size)").alias("dtokens"))
         seen = seen.alias("s").join(
             small(parts.where("reading > 0").select(F.col("item_id").alias("i"), F.col("ipos").alias("p"), F.col("reading").alias("r"), "islots", "itokens")),
             F.col("s.item_id").eqNullSafe(F.col("i")) & (F.col("s.ipos") == F.col("p")) & (F.col("s.reading") == F.col("r")),
         )
+        both = F.zip_with("itokens", "dtokens", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
         values = F.filter(
-            F.zip_with(F.zip_with("itokens", "dtokens", lambda x, y: F.struct(x.alias("x"), y.alias("y"))), "islots", lambda v, s: F.when(s.isNotNull(), v)),
-            lambda v: v.isNotNull(),
+            F.zip_with(both, "islots", lambda v, s: F.when(s.isNotNull(), F.struct(v["x"].alias("x"), v["y"].alias("y"), s.alias("slot")))), lambda v: v.isNotNull()
         )
-        line = ["doc_id", "text_hash", "item_id", "shift", "reading"]
-        # what the first reading pairs must hold in the second too
-        seen = seen.withColumn("reading", F.explode(F.when(F.col("reading") == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))))
-        pairs = seen.select(*line, F.explode(values).alias("v")).groupBy(*line, "v.x").agg((F.min("v.y") != F.max("v.y")).alias("split"))
-        sound = pairs.groupBy(*line).agg(F.max("split").alias("split")).where(~F.col("split")).drop("split").alias("k")
+        line = ["doc_id", "text_hash", "item_id", "copy", "reading"]
+        pairs = cut(seen.select(*line, F.explode(values).alias("v")).select(*line, "v.x", "v.y", "v.slot").distinct())
+        # one value for each of the item's, and no two of its names for one of the document's
+        one = pairs.groupBy(*line, "x").agg((F.min("y") != F.max("y")).alias("split"))
+        two = pairs.where("slot = '<name>'").groupBy(*line, "y").agg((F.min("x") != F.max("x")).alias("split"))
+        torn = one.select(*line, "split").unionByName(two.select(*line, "split")).where("split").select(*line).distinct().alias("k")
         s = slotted.alias("h")
         on = [F.col(f"h.{c}").eqNullSafe(F.col(f"k.{c}")) for c in line]
-        good = good.unionByName(s.join(sound, on[0] & on[1] & on[2] & on[3] & on[4], "left_semi"))
+        good = good.unionByName(s.join(torn, on[0] & on[1] & on[2] & on[3] & on[4], "left_anti").select("h.*").select(*good.columns))
 
     found = good.groupBy("doc_id", "text_hash", "item_id", "windows", "ipos").agg(F.lit(1).alias("one"))
     found = found.groupBy("doc_id", "text_hash", "item_id").agg(F.max("windows").cast("long").alias("windows"), F.count("*").alias("found"))

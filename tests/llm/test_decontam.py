@@ -1,3 +1,4 @@
+import random
 import re
 
 from sorimill.llm import decontam
@@ -115,3 +116,59 @@ def test_items_of_few_plain_words(spark):
     docs = [(i, f"here it says: {t} and so on") for i, t in items]
     docs += [(i + 10, re.sub("[0-9]+", lambda m: str(int(m.group()) + 1), t)) for i, t in items]  # other values: too little to go by
     assert found(spark, docs, items) == {(0, 0), (1, 1), (2, 2)}
+
+
+NAMES = "Anna Boris Clara David Emma Felix Greta Henry Irene Jonas Karla Louis Marta Nils Olga Peter Rita Simon Tanja Uwe Vera Willi".split()
+
+
+def question(i, first, second, n):
+    thing, place, tree = (words(9000 + 3 * i + k, 1) for k in range(3))
+    return (
+        f"{first} keeps {n[0]} {thing} behind the {place}. Before noon {first} gives {n[1]} of them to {second} near the old {tree}. Then {second} walks {n[2]} km "
+        f"along the river, and {first} finds {n[3]} more {thing} under a stone. How many {thing} does {first} have when {second} comes back?"
+    )
+
+
+def test_generated_variants(spark):
+    rng = random.Random(7)
+    items, docs = [], []
+    for i in range(60):
+        a, b, c, d = rng.sample(NAMES, 4)
+        low = lambda: rng.sample(range(2, 100), 4)  # noqa: E731  # four values, so that each slot has its own
+        items.append((i, question(i, a, b, low())))
+        filler = words(500 + i, 60)
+        docs.append((i, f"{filler}. {question(i, c, d, low())} {filler}"))  # consistent: other names and numbers
+        docs.append((100 + i, f"{filler}. {question(i, c + ' ' + a, d, [1200, *low()[1:]])} {filler}"))  # a name of two words
+        whole = question(i, "Zoe", d, low())
+        docs.append((200 + i, whole.replace("Zoe", "Paul", 1).replace("Zoe", "Mary Ann", 1)))  # one name, three replacements
+        docs.append((300 + i, question(i, c, c, low())))  # two names, one replacement
+        docs.append((400 + i, question(i, c, d, low()) + "\n" + question(i, b, a, low())))  # two variants, one behind the other
+    got = found(spark, docs, items)
+    for start, least, most in ((0, 60, 60), (400, 60, 60), (200, 0, 0), (300, 0, 0)):
+        n = sum((start + i, i) in got for i in range(60))
+        assert least <= n <= most, (start, n)
+    assert sum((100 + i, i) in got for i in range(60)) >= 30  # two words for one leave fewer windows alike
+    assert all(d % 100 == i for d, i in got)
+
+
+def test_units_and_numbers_in_four_languages(spark):
+    items = [
+        (0, "Der Bauer verkauft am Morgen 12 Kilometer Stoff und gibt dem Nachbarn danach noch 3 Kilometer davon für den langen Weg"),
+        (1, "La fermière vend ce matin douze kilos de pommes et donne ensuite trois kilos de ces fruits à la vieille voisine du village"),
+        (2, "El granjero vende esta mañana 12 kilos de manzanas y luego regala 3 kilos de esas frutas a la vieja vecina del pueblo"),
+    ]
+    docs = [
+        (0, items[0][1].replace("12", "40").replace("3", "7").replace("Kilometer", "Meter")),
+        (1, items[1][1].replace("douze", "vingt").replace("trois", "9").replace("kilos", "tonnes")),
+        (2, items[2][1].replace("12", "quince").replace("3", "ocho").replace("kilos", "gramos")),
+        (3, items[2][1].replace("12", "15").replace("3 kilos", "8 gramos").replace("manzanas", "peras")),  # one unit, two replacements
+    ]
+    assert found(spark, docs, items) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_types_of_ids(spark):
+    bench = spark.createDataFrame([("q1", words(6, 20))], "item_id string, text string")
+    docs = spark.createDataFrame([("a", words(6, 20))], "doc_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()] == [("a", "q1")]
+    empty = decontam.find_leaks(docs, bench.limit(0))
+    assert dict(empty.dtypes)["doc_id"] == dict(empty.dtypes)["item_id"] == "string" and empty.count() == 0
