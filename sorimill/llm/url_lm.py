@@ -22,6 +22,7 @@ an empty table gives an empty table; clashing columns give way.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_bytes
+from .common import SLICE_ROWS, append_columns, as_bytes
 
 ALPHABET = 40
 ORDER = 4
 FOLDS = 2
+#: Cells that are summed at a time.
+BLOCK = 40_000
 
 _CODES = np.full(256, 39, np.int64)
 for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
@@ -91,23 +94,50 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def _count(rows: DataFrame) -> DataFrame:
-    """(fold, allowed, cell, n) from (url, fold, allowed)."""
+    """(part, block, n): counts of the cells of (url, fold, allowed), a compressed row for each block of cells.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Part is fold and kind. Each task fills one histogram for each part; blocks of
+    them, sparse, are shuffled and summed.
+    """
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
         for b in batches:
-            fold, allowed = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            part = b.column(1).to_numpy(zero_copy_only=False) * 2 + b.column(2).to_numpy(zero_copy_only=False)
             urls = as_bytes(b.column(0))
-            for f in np.unique(fold):
-                for a in (0, 1):
-                    own = [cells(urls[i]) for i in np.flatnonzero((fold == f) & (allowed == a))]
-                    if own:
-                        cell, n = np.unique(np.concatenate(own), return_counts=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(cell), v, np.int32)) for v in (f, a)] + [pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))],
-                            names=["fold", "allowed", "cell", "n"],
-                        )
-
-    return rows.mapInArrow(run, "fold int, allowed int, cell int, n long").groupBy("fold", "allowed", "cell").agg(F.sum("n").alias("n"))
+            for p in np.unique(part):
+                own = counts.setdefault(int(p), np.zeros(ALPHABET**ORDER, np.int64))
+                for at in np.array_split(np.flatnonzero(part == p), max(1, len(urls) // SLICE_ROWS)):
+                    if len(at):
+                        cell, n = np.unique(np.concatenate([cells(urls[i]) for i in at]), return_counts=True)
+                        own[cell] += n
+        for p, own in counts.items():
+            for block in range(0, len(own), BLOCK):
+                at = np.flatnonzero(own[block : block + BLOCK])
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p], pa.int32()), pa.array([block // BLOCK], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), own[block + at])],
+                        names=["part", "block", "at", "n"],
+                    )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(BLOCK, np.int64)
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in now] + [pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "block", "n"])
+
+        for batch in batches:
+            for part, block, at, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (part, block) != now:
+                    if now:
+                        yield done()
+                    now, total = (part, block), np.zeros(BLOCK, np.int64)
+                total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
+        if now:
+            yield done()
+
+    sparse = rows.mapInArrow(fill, "part int, block int, at binary, n binary")
+    return sparse.repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(merge, "part int, block int, n binary")
 
 
 def _scored(df: DataFrame, url: str, tables, keep: list[str], fold: str | None = None) -> DataFrame:
@@ -136,8 +166,9 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], *, url: str = "url",
     fold = F.pmod(F.xxhash64("__url"), F.lit(FOLDS)).cast("int")
     labelled = ruled.where("rule is not null").select("__url", fold.alias("fold"), (F.col("__verdict") == "allow").cast("int").alias("allowed"))
     counts = np.zeros((FOLDS, 2, ALPHABET**ORDER), np.int64)
-    for r in _count(labelled).toLocalIterator():  # at most 40**4 cells of each kind and fold
-        counts[r["fold"], r["allowed"], r["cell"]] = r["n"]
+    for r in _count(labelled).collect():  # at most 4 x 64 compressed blocks of 40,000 cells
+        own = np.frombuffer(zlib.decompress(r["n"]), np.int64)
+        counts[r["part"] // 2, r["part"] % 2, r["block"] * BLOCK : r["block"] * BLOCK + BLOCK] = own[: ALPHABET**ORDER - r["block"] * BLOCK]
     whole = counts.sum(axis=0)
 
     def ratio(c):

@@ -84,3 +84,36 @@ def test_edges(spark):
     ]
     assert url_lm.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
     assert url_lm.judge_urls(pages, []).where("rule is null").count() == 6
+
+
+def test_verdicts_against_brute_force(spark):
+    """Scores and the cut by counting contexts in dictionaries, over all labelled URLs."""
+    folder = "/root/testdata/sf0.01"
+    urls = [(p.page_id, p.url or "") for p in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    got = by_id(url_lm.judge_urls(spark.read.parquet(f"{folder}/pages.parquet"), queries.URL_RULES), "page_id")
+    kinds = {i: rule(*host_path(u))[1] for i, u in urls}
+    counts = np.zeros((2, ALPHA**url_lm.ORDER), np.int64)
+    for i, u in urls:
+        if kinds[i]:
+            np.add.at(counts[int(kinds[i] == "allow")], url_lm.cells(u.encode()), 1)
+    ratio = url_lm.log_model(counts[1]) - url_lm.log_model(counts[0])
+    scores = {i: float(ratio[url_lm.cells(u.encode())].mean()) if u else 0.0 for i, u in urls}
+    assert all(abs(got[i]["score"] - s) < 1e-4 for i, s in scores.items())
+    free = [(got[i]["score"], got[i]["verdict"]) for i, _ in urls if not kinds[i]]
+    allowed, blocked = [s for s, v in free if v == "allow"], [s for s, v in free if v == "block"]
+    assert not allowed or not blocked or min(allowed) > max(blocked)  # one cut for all
+
+
+def test_histograms(spark):
+    rows = [(f"http://h{i % 13}.com/{i}", i % 2, i % 3 % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "u string, fold int, allowed int").repartition(5)
+    import zlib
+
+    got = np.zeros((4, ALPHA**url_lm.ORDER), np.int64)
+    for r in url_lm._count(df).collect():
+        own = np.frombuffer(zlib.decompress(r.n), np.int64)
+        got[r.part, r.block * url_lm.BLOCK : (r.block + 1) * url_lm.BLOCK] += own
+    want = np.zeros_like(got)
+    for u, f, a in rows:
+        np.add.at(want[2 * f + a], url_lm.cells(u.encode()), 1)
+    assert (got == want).all()
