@@ -1,9 +1,11 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-1. Each source's documents, in the order of a hash of their id, are one stream
+1. Each source's documents, in the order of a hash of id and text, are one stream
    of words, packed into blocks of ``block`` words (the last may be shorter).
-   Offsets come from two levels of running sums: within small hash buckets of
-   a source, then over its buckets. So no task sorts a whole hot source.
+   Offsets come from levels of running sums: within small hash buckets of a
+   source, within spans of its buckets, then over the spans. So no task sorts a
+   whole hot source, nor all its buckets or shards. Only the sources themselves,
+   a row for each, meet in one task.
 2. Targets fill the total by weight, none above ``cap`` times its source.
 3. For each output shard, ``shard_slots`` draws of a keyed hash give its
    multinomial counts by source. Draws beyond a source's quota of blocks go, in
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut, small, words_of
 
 #: Documents in a bucket of a running sum, about.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
+#: Buckets, or shards, whose sums make one of the next level.
+SPAN = 1024
 #: Steps of the draw's lookup table.
 STEPS = 4096
 
@@ -49,6 +53,25 @@ class Mix:
     documents: DataFrame
 
 
+def _running(df: DataFrame, keys: list[str], order: str, value: str, output: str) -> DataFrame:
+    """Add the sum of ``value`` over a key's rows up to each, by ``order``, a whole number from 0 on.
+
+    Summed within spans of the order, then over the spans, so that no task gets all rows of a key.
+    """
+    key = [F.col(k) for k in keys]
+    df = df.withColumn("__span", F.floor(F.col(order) / SPAN).cast("long"))
+    spans = df.groupBy(*key, "__span").agg(F.sum(value).alias("__held"))
+    over = W.partitionBy(*key).orderBy("__span").rowsBetween(W.unboundedPreceding, 0)
+    spans = spans.withColumn("__before", F.sum("__held").over(over) - F.col("__held")).drop("__held").alias("t")
+    inner = W.partitionBy(*key, "__span").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = df.withColumn(output, F.sum(value).over(inner)).alias("r")
+    same = F.col("r.__span") == F.col("t.__span")
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
+    own = [F.col(f"r.{c}") for c in df.columns if c != "__span"]
+    return rows.join(spans, same).select(*own, (F.col(f"r.{output}") + F.col("t.__before")).alias(output))
+
+
 def _targets(totals: DataFrame, cap: float, block: int) -> DataFrame:
     """Water filling: sources in the order of cap by weight; rank is by code point, null last."""
     every = W.partitionBy()
@@ -82,8 +105,7 @@ def _permuted(j: Column, n: Column, key: list[Column]) -> Column:
                 F.when(k % 2 == 0, left).otherwise(acc["l"]).alias("l"), F.when(k % 2 == 0, acc["r"]).otherwise(right).alias("r")
             )
 
-        start = F.struct(F.expr("0L").alias("l"), F.expr("0L").alias("r"))
-        start = F.struct((F.floor(x / b)).cast("long").alias("l"), F.pmod(x, b).alias("r")) if x is not None else start
+        start = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, b).alias("r"))
         turns = F.array(*[F.lit(k) for k in range(6)])
         return F.aggregate(turns, start, turn, lambda acc: acc["l"] * b + acc["r"])
 
@@ -109,6 +131,7 @@ def plan_mix(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.size(words_of(F.col(text))).cast("long").alias("size"),
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("order"),  # repeated ids don't fall together
     )
     sized = cut(sized)
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -117,10 +140,10 @@ def plan_mix(
     n_slots = facts[0] or 0
     n_buckets = max(1, sized.count() // BUCKET_ROWS)
 
-    placed = sized.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("order", F.lit(n_buckets)))
+    placed = sized.withColumn("bucket", F.pmod("order", F.lit(n_buckets)))
     of_bucket = placed.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    over = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    of_bucket = of_bucket.withColumn("before", F.sum("held").over(over) - F.col("held")).drop("held").alias("b")
+    of_bucket = _running(of_bucket, ["source"], "bucket", "held", "upto")
+    of_bucket = of_bucket.select("source", "bucket", (F.col("upto") - F.col("held")).alias("before")).alias("b")
     inner = W.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", "uid").rowsBetween(W.unboundedPreceding, 0)
     placed = placed.withColumn("within", F.sum("size").over(inner) - F.col("size")).alias("p")
     same = F.col("p.source").eqNullSafe(F.col("b.source")) & (F.col("p.bucket") == F.col("b.bucket"))
@@ -145,23 +168,21 @@ def plan_mix(
     drawn = draws.withColumn("step", F.floor(F.col("v") / step)).join(small(table), "step").where("v >= low and v < high")
     counts = cut(drawn.groupBy("shard", "rank").agg(F.count("*").alias("drawn")))
 
-    by_rank = W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
     quotas = sources.select("rank", "quota")
-    kept = counts.withColumn("upto", F.sum("drawn").over(by_rank)).join(quotas, "rank")
+    kept = _running(counts, ["rank"], "shard", "drawn", "upto").join(quotas, "rank")
     kept = kept.select("shard", "rank", F.greatest(F.lit(0), F.least("drawn", F.col("quota") - F.col("upto") + F.col("drawn"))).alias("taken"), "drawn")
-    every = W.partitionBy()
     short = kept.groupBy("shard").agg((F.sum("drawn") - F.sum("taken")).alias("n")).where("n > 0")
-    short = short.withColumn("upto", F.sum("n").over(every.orderBy("shard").rowsBetween(W.unboundedPreceding, 0)))
+    short = _running(short, [], "shard", "n", "upto")
     short = short.select("shard", F.explode(F.expr("sequence(upto - n, upto - 1)")).alias("unit"))
     used = kept.groupBy("rank").agg(F.sum("taken").alias("used"))
     left = quotas.join(used, "rank", "left").select("rank", (F.col("quota") - F.coalesce("used", F.lit(0))).alias("n")).where("n > 0")
-    left = left.withColumn("upto", F.sum("n").over(every.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
+    left = _running(left, [], "rank", "n", "upto")
     left = left.select("rank", F.explode(F.expr("sequence(upto - n, upto - 1)")).alias("unit"))
     moved = short.join(left, "unit").groupBy("shard", "rank").agg(F.count("*").alias("taken"))
     final = kept.select("shard", "rank", "taken").unionByName(moved).groupBy("shard", "rank").agg(F.sum("taken").alias("taken")).where("taken > 0")
 
     # slots: the j-th of a source takes block perm(j mod n) of pass j div n
-    final = final.withColumn("upto", F.sum("taken").over(by_rank)).repartition(tasks, "shard", "rank")
+    final = _running(final, ["rank"], "shard", "taken", "upto").repartition(tasks, "shard", "rank")
     slots = final.select("shard", "rank", F.explode(F.expr("sequence(upto - taken, upto - 1)")).alias("j"))
     slots = slots.join(sources.select("rank", "source", "blocks"), "rank")
     slots = slots.withColumn("pass_no", F.floor(F.col("j") / F.col("blocks"))).withColumn("slot", F.pmod("j", "blocks"))

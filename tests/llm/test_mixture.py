@@ -91,3 +91,25 @@ def test_edges(spark):
     assert empty.count() == 0
     none = mixture.taken_words(mixture.plan_mix(docs.where("text is null or text = ''"))).collect()
     assert [(r["size"], r.target, r.taken) for r in none] == [(0, 0.0, 0)] * 3
+
+
+def test_many_sources_and_one_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "SPAN", 2)
+    monkeypatch.setattr(mixture, "BUCKET_ROWS", 20)
+    rows = [(i, words(i, 30), f"s{i % 150:03}") for i in range(600)]
+    rows += [(7, words(10_000 + i, 40), "hot") for i in range(800)] + [(None, words(20_000, 40), "hot")] * 50
+    docs = documents(spark, rows)
+    got = mixture.taken_words(mixture.plan_mix(docs, block=16, shard_slots=40)).collect()
+    check(rows, got, slack=0.2)
+    again = mixture.taken_words(mixture.plan_mix(docs.repartition(3), block=16, shard_slots=40)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "SPAN", 8)
+    rows = [(k, i, (i * 7) % 5) for k in ("a", None) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    for keys in (["k"], []):
+        some = df if keys else df.where("k is null")
+        for r in mixture._running(some, keys, "i", "v", "upto").collect():
+            assert r.upto == sum((i * 7) % 5 for i in range(r.i + 1))
