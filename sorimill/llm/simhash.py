@@ -101,7 +101,7 @@ def _majority(text: bytes, shingle: int, lanes: int = 1, distinct: bool = False)
         span = range(at, min(n, at + CHUNK))
         part = np.fromiter((h(once[i] if distinct else join(words[i : i + shingle]), 42) for i in span), np.uint64, len(span))
         for k in range(lanes):
-            x = part + np.uint64(k) * np.uint64(0x9E3779B97F4A7C1)
+            x = part + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
             for turn in range(2 if k else 0):
                 x = (x ^ (x >> np.uint64(30 + turn))) * np.uint64(0xBF58476D1CE4E5B9)
             x = x ^ (x >> np.uint64(31)) if k else x
