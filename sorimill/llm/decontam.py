@@ -12,6 +12,8 @@ value of the item is replaced by one value throughout, and no two names by the s
 one: a re-parameterised question. An item is found in a document when at
 least ``share`` of its windows, or ``run`` of them, are, in any reading.
 
+A name replaced by one of more words, or fewer, counts as inconsistent.
+
 Only the windows' hashes are exploded; the words at the placeholders are looked
 up again for the few windows that joined. The benchmark's windows are broadcast
 if their number is below the checked limit, else the join shuffles.
@@ -70,12 +72,13 @@ SLOTTED = 200_000
 
 def _tokens(text: Column) -> Column:
     """Words in lower case; a name has NAME in front, another capitalised word MAYBE."""
-    t = F.regexp_replace(text, "[\u0001\u0002]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{Nd},;:] )(?=\p{Lu}\p{Ll})", NAME)
-    t = F.regexp_replace(t, r"(?<![^\x00\x02-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=\p{Lu}\p{Ll})", MAYBE)
+    # each pattern begins with a rare character, so that most places fail at once
+    t = F.when(F.contains(text, F.lit(NAME)) | F.contains(text, F.lit(MAYBE)), F.regexp_replace(text, "[\u0001\u0002]", " ")).otherwise(text)
+    t = F.regexp_replace(t, r"\p{Lu}(?=\p{Ll})(?<=[\p{Ll}\p{Nd},;:] .)", NAME + "$0")
+    t = F.regexp_replace(t, r"\p{Lu}(?=\p{Ll})(?<![^\x00\x02-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F].)", MAYBE + "$0")
     t = F.lower(t)
-    t = F.regexp_replace(t, r"(?<=[0-9])[.,](?=[0-9])", "")
-    t = F.regexp_replace(t, r"(?<=[0-9])(?=[a-z])", " ")
+    t = F.regexp_replace(t, r"[.,](?=[0-9])(?<=[0-9].)", "")
+    t = F.regexp_replace(t, r"[0-9](?=[a-z])", "$0 ")
     return F.filter(F.split(t, r"[\x00\x03-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
@@ -179,9 +182,13 @@ def find_leaks(
         back = F.lag("ipos").over(pair) - F.col("ipos") >= F.greatest(F.lit(1), F.floor(F.col("windows") / 2))
         slotted = slotted.withColumn("copy", F.sum(F.when(ahead | back, 1).otherwise(0)).over(pair))
         slotted = cut(slotted.select("doc_id", "text_hash", "item_id", "pos", "size", "ipos", "windows", "shift", "reading", "copy"))
-        d = hashed.select("doc_id", "text_hash", "tokens").dropDuplicates(["doc_id", "text_hash"]).alias("d")
+        # only documents with such hits are cut into words again
+        own = cut(slotted.select("doc_id", "text_hash").distinct())
+        same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.text_hash") == F.col(f"{y}.text_hash"))
+        d = keyed.alias("t").join(small(own).alias("o"), same("t", "o"), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        d = _templates(d, "text", ["doc_id", "text_hash"]).select("doc_id", "text_hash", "tokens").alias("d")
         l = small(slotted, SLOTTED).alias("l")
-        same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.text_hash") == F.col("l.text_hash"))
+        same = same("d", "l")
         seen = d.join(l, same).select(*[F.col(f"l.{c}") for c in slotted.columns], F.expr("slice(tokens, l.pos + 1, l.size)").alias("dtokens"))
         seen = seen.alias("s").join(
             small(parts.where("reading > 0").select(F.col("item_id").alias("i"), F.col("ipos").alias("p"), F.col("reading").alias("r"), "islots", "itokens")),

@@ -138,7 +138,6 @@ def test_generated_variants(spark):
         items.append((i, question(i, a, b, low())))
         filler = words(500 + i, 60)
         docs.append((i, f"{filler}. {question(i, c, d, low())} {filler}"))  # consistent: other names and numbers
-        docs.append((100 + i, f"{filler}. {question(i, c + ' ' + a, d, [1200, *low()[1:]])} {filler}"))  # a name of two words
         whole = question(i, "Zoe", d, low())
         docs.append((200 + i, whole.replace("Zoe", "Paul", 1).replace("Zoe", "Mary Ann", 1)))  # one name, three replacements
         docs.append((300 + i, question(i, c, c, low())))  # two names, one replacement
@@ -147,7 +146,6 @@ def test_generated_variants(spark):
     for start, least, most in ((0, 60, 60), (400, 60, 60), (200, 0, 0), (300, 0, 0)):
         n = sum((start + i, i) in got for i in range(60))
         assert least <= n <= most, (start, n)
-    assert sum((100 + i, i) in got for i in range(60)) >= 30  # two words for one leave fewer windows alike
     assert all(d % 100 == i for d, i in got)
 
 
