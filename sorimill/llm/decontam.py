@@ -66,6 +66,8 @@ NUMBERS = sorted(
 #: Marks in front of a capitalised word: inside a sentence; anywhere else, where it may be a name.
 NAME, MAYBE = "\u0001", "\u0002"
 
+#: Hashes of the benchmark's windows that are part of the plan, at most; more are joined with all windows.
+INLINE = 20_000
 #: Windows found by their template that are broadcast to look up their words, at most.
 SLOTTED = 200_000
 
@@ -164,11 +166,21 @@ def find_leaks(
 
     keyed = docs.where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
     hashed = _templates(keyed, "text", ["doc_id", "text_hash"])
-    exploded = None
-    for size in sizes:  # readings without slots of their own have the same hash, which is probed once
-        rows = hashed.select("doc_id", "text_hash", F.posexplode(F.arrays_zip(*[_windows(f"h{r}", size).alias(f"w{r}") for r in range(3)])).alias("pos", "w"))
-        rows = rows.select("doc_id", "text_hash", "pos", F.explode(F.array_distinct(F.array("w.w0", "w.w1", "w.w2"))).alias("hash"))
-        exploded = rows if exploded is None else exploded.unionByName(rows)
+    known = [r[0] for r in parts.select("hash").distinct().limit(INLINE + 1).collect()]
+    values = [F.lit(h) for h in known] if len(known) <= INLINE else None  # at most INLINE numbers of the benchmark
+    places = None
+    for size in sizes:
+        for r in range(3):
+            every = _windows(f"h{r}", size)
+            place = lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))
+            if values:  # only windows that the benchmark has become rows
+                every = F.filter(F.transform(every, lambda h, i: F.when(h.isin(values), place(h, i))), lambda x: x.isNotNull())
+            else:
+                every = F.transform(every, place)
+            every = F.coalesce(every, F.expr("cast(array() as array<struct<pos:int,hash:bigint>>)"))
+            places = every if places is None else F.concat(places, every)
+    # readings without slots of their own have the same hash, which is probed once
+    exploded = hashed.select("doc_id", "text_hash", F.explode(F.array_distinct(places)).alias("w")).select("doc_id", "text_hash", "w.pos", "w.hash")
     probe = parts.select("hash", "item_id", "ipos", "size", "windows", "reading")
     hits = cut(exploded.join(small(probe), "hash").drop("hash").dropDuplicates(["doc_id", "text_hash", "item_id", "pos", "ipos", "reading"]))
     hits = hits.withColumn("shift", F.col("pos") - F.col("ipos"))
