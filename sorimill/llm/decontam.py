@@ -112,12 +112,35 @@ def _templates(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return df.select("*", *slotted)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _windows(h: str, size: int) -> Column:
-    """Hashes of the windows of ``size`` words of ``h``, in order."""
-    n = F.size(h)
-    return F.when(
-        n >= size, F.transform(F.sequence(F.lit(1), n - F.lit(size - 1)), lambda i: F.xxhash64(F.lit(size), F.slice(h, i, F.lit(size))))
-    )
+    """Hashes of the windows of ``size`` words of ``h``, in order; null if there are none.
+
+    Hashes of 1, 2, 4 .. words are made of two of the length before; those that ``size``
+    consists of make up a window's.
+    """
+
+    def doubled(blocks: Column, k: int) -> Column:
+        return F.transform(blocks, lambda v, i: F.xxhash64(v, F.get(blocks, i + k)))
+
+    def made(blocks: Column, k: int, left: int, so_far: Column | None, done: int) -> Column:
+        """``blocks`` are of k words; ``so_far`` are windows of the ``done`` last words wanted, ``left`` is what else."""
+        if left & 1:
+            taken = blocks if so_far is None else F.transform(blocks, lambda v, i: F.xxhash64(v, F.get(so_far, i + k)))
+            so_far, done = taken, done + k
+        if left > 1:
+            if so_far is None:
+                return _let(doubled(blocks, k), lambda x: made(x, 2 * k, left >> 1, None, done))
+            both = F.struct(doubled(blocks, k).alias("b"), so_far.alias("s"))
+            return _let(both, lambda x: made(x["b"], 2 * k, left >> 1, x["s"], done))
+        return so_far
+
+    n = F.size(h) - (size - 1)
+    return F.when(n > 0, F.slice(_let(F.col(h), lambda x: made(x, 1, size, None, 0)), F.lit(1), n))
 
 
 def find_leaks(
