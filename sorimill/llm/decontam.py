@@ -194,14 +194,11 @@ def find_leaks(
     places = None
     for size in sizes:
         for r in range(3):
-            every = _windows(f"h{r}", size)
-            place = lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))
-            if values:  # only windows that the benchmark has become rows
-                every = F.filter(F.transform(every, lambda h, i: F.when(h.isin(values), place(h, i))), lambda x: x.isNotNull())
-            else:
-                every = F.transform(every, place)
+            every = F.transform(_windows(f"h{r}", size), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
             every = F.coalesce(every, F.expr("cast(array() as array<struct<pos:int,hash:bigint>>)"))
             places = every if places is None else F.concat(places, every)
+    if values:  # only windows that the benchmark has become rows
+        places = F.filter(places, lambda x: x["hash"].isin(values))
     # readings without slots of their own have the same hash, which is probed once
     exploded = hashed.select("doc_id", "text_hash", F.explode(F.array_distinct(places)).alias("w")).select("doc_id", "text_hash", "w.pos", "w.hash")
     probe = parts.select("hash", "item_id", "ipos", "size", "windows", "reading")
