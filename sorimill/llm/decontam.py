@@ -189,16 +189,22 @@ def find_leaks(
 
     keyed = docs.where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
     hashed = _templates(keyed, "text", ["doc_id", "text_hash"])
-    known = [r[0] for r in parts.select("hash").distinct().limit(INLINE + 1).collect()]
-    values = [F.lit(h) for h in known] if len(known) <= INLINE else None  # at most INLINE numbers of the benchmark
+    known = parts.groupBy("hash").agg(F.min("reading").alias("least"), F.max("reading").alias("most")).limit(INLINE + 1).collect()
+    # at most INLINE numbers of the benchmark: those of windows as they are, those of templates
+    plain, slotted_ = ([F.lit(r["hash"]) for r in known if keep(r)] for keep in (lambda r: r["least"] == 0, lambda r: r["most"] > 0))
     places = None
     for size in sizes:
         for r in range(3):
-            every = F.transform(_windows(f"h{r}", size), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
+            every, values = _windows(f"h{r}", size), slotted_ if r else plain
+            place = lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))
+            if len(known) > INLINE:
+                every = F.transform(every, place)
+            elif values:  # only windows that the benchmark has become rows
+                every = F.filter(F.transform(every, lambda h, i: F.when(h.isin(values), place(h, i))), lambda x: x.isNotNull())
+            else:
+                continue
             every = F.coalesce(every, F.expr("cast(array() as array<struct<pos:int,hash:bigint>>)"))
             places = every if places is None else F.concat(places, every)
-    if values:  # only windows that the benchmark has become rows
-        places = F.filter(places, lambda x: x["hash"].isin(values))
     # readings without slots of their own have the same hash, which is probed once
     exploded = hashed.select("doc_id", "text_hash", F.explode(F.array_distinct(places)).alias("w")).select("doc_id", "text_hash", "w.pos", "w.hash")
     probe = parts.select("hash", "item_id", "ipos", "size", "windows", "reading")
