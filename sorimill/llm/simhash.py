@@ -35,7 +35,12 @@ SHINGLE words have a Jaccard similarity of 0.8 or more. Candidates share one of
 alone, not on where the edits are: a pair at 0.8 is missed with a probability of
 (1 - 0.8 ** 4) ** 24, 3 in a million. Each is then verified on the hashed sets.
 Candidates meet the smallest text of their key first; afterwards all pairs of a key
-that components hold apart are compared, whatever the key's size.
+that components hold apart are compared, whatever the key's size. They meet by
+sketches of parity: each shingle flips one bit of some four for each shingle of the
+set, so two sketches never differ in more bits than the sets do in shingles. A pair
+that differs in too many bits is surely not similar; the others are verified. Pairs
+become rows only if they pass, and of those only some forests that span a key's
+components, until no pair is left that joins two of them and wasn't verified.
 
 Defined cases: a null, empty or blank text has fingerprint zero, linked like any
 other; null ids are smaller than none (a component's id is its smallest non-null
@@ -72,6 +77,10 @@ WIDE_ROWS = 32
 #: Keys of BAND MinHash values that a text has for exact links.
 BANDS = 24
 BAND = 4
+#: Of the pairs of a key that pass the sketches, so many forests are verified at first; twice as many each time.
+FORESTS = 8
+#: Keys are compared in pairs of parts, some (n / PART) ** 0.5 of them.
+PART = 64
 #: Classes of a key that are compared in one piece, at most.
 GROUP = 8192
 #: Of these, so many are compared with all others at a time.
@@ -158,6 +167,53 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """Four bits or more for each shingle, flipped once by each; the number of bits is a power of two."""
+    bits = 256
+    while bits < 4 * len(shingles):
+        bits *= 2
+    at = ((shingles >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches as those of fewer words, which differ in no more bits."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _maybe_similar(size: np.ndarray, sketch: list[bytes], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the pairs of different labels that sizes and sketches allow to be similar, in pieces; each once.
+
+    Similar sets differ in at most a ninth of the sum of their sizes. Their sizes
+    differ by a quarter at most, so one sketch has no more than twice the words of the other.
+    """
+    width = np.array([len(x) // 8 for x in sketch])
+    for w in np.unique(width):
+        own, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        words = lambda at, k: np.frombuffer(b"".join(sketch[i] for i in at), np.uint64).reshape(len(at), int(k))
+        full = np.concatenate([words(own, w), _folded(words(wider, 2 * w), w)])
+        at, brief = np.r_[own, wider], _folded(full, 4)
+        n, of = size[at], label[at]
+        for s in range(0, len(own), ROWS):
+            e = min(s + ROWS, len(own))
+            most = n[s:e, None] + n[None, s:]
+            fit = (of[s:e, None] != of[None, s:]) & (9 * np.abs(n[s:e, None] - n[None, s:]) <= most)
+            fit[:, : e - s] &= np.triu(np.ones((e - s, e - s), bool), 1)
+            bits = np.zeros(fit.shape, np.int64)
+            for k in range(4):
+                bits += np.bitwise_count(brief[s:e, None, k] ^ brief[None, s:, k])
+            i, j = np.nonzero(fit & (9 * bits <= most))
+            step = max(1, (1 << 21) // int(w))
+            for c in range(0, len(i), step):
+                x, y = i[c : c + step] + s, j[c : c + step] + s
+                near = 9 * np.bitwise_count(full[x] ^ full[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
+                if near.any():
+                    yield at[x[near]], at[y[near]]
+
+
 def add_fingerprint(df: DataFrame, text: str = "text", shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Add the column ``fingerprint`` (a signed long)."""
 
@@ -411,6 +467,55 @@ def similar_links(prints: DataFrame, docs: DataFrame) -> DataFrame:
     return _by_key(cut(near.join(wide, "text_hash").select("mask", "fp", "node", "wide")), _similar, NEAR_BLOCKS, NEAR_BITS, "node", split=False)
 
 
+def _forests(keyed: DataFrame, forests: int) -> DataFrame:
+    """(a, u, b, v): pairs that may be similar, texts and fingerprints; ``a`` is null where there are more.
+
+    ``keyed`` has key, text_hash, fp, label, size, sketch and known, the texts that this one
+    needn't meet. Of a key's pairs, ``forests`` forests without common pairs, each of which spans what the last one left.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text, fp, label, size, sketch, known in _groups(batches):
+            met = {(int(a), int(b)) for a, others in zip(text, known) for b in (others if others is not None else ())}
+            _, node = np.unique(label, return_inverse=True)
+            roots = [np.arange(node.max() + 1) for _ in range(forests)]
+            found, more = [], False
+
+            def find(root, x):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for i, j in _maybe_similar(size, list(sketch), node):
+                last = roots[-1]
+                while (last[last] != last).any():
+                    last[:] = last[last]
+                # nodes that one forest holds together are together in all forests before it
+                new = last[node[i]] != last[node[j]]
+                more |= not new.all()
+                for x, y in zip(i[new].tolist(), j[new].tolist()):
+                    if (int(text[x]), int(text[y])) in met:
+                        continue
+                    for root in roots:
+                        a, b = find(root, node[x]), find(root, node[y])
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
+                            found.append((x, y) if text[x] < text[y] else (y, x))
+                            break
+                    else:
+                        more = True
+            x, y = np.array(found, np.int64).reshape(-1, 2).T
+            columns = [pa.array(c[at].astype(np.int64)) for at in (x, y) for c in (text, fp)]
+            if more:
+                columns = [pa.concat_arrays([c, pa.array([None], pa.int64())]) for c in columns]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "u", "b", "v"])
+
+    placed = keyed.select("key", "text_hash", "fp", "label", "size", "sketch", "known").repartition("key").sortWithinPartitions("key", "text_hash")
+    return placed.mapInArrow(run, "a long, u long, b long, v long")
+
+
 def exact_links(prints: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
     """(u, v): links among fingerprints of texts of a Jaccard similarity of 0.8 or more, beside ``edges``.
 
@@ -423,12 +528,17 @@ def exact_links(prints: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFra
     rows = cut(rows.join(small(counts), "key"))
 
     def make():
-        return lambda column: [pa.array([shingle_set(t).view(np.int64) for t in as_bytes(column)], pa.list_(pa.int64()))]
+        def run(column):
+            sets = [shingle_set(t) for t in as_bytes(column)]
+            return [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(map(parity_sketch, sets), pa.binary())]
+
+        return run
 
     met = cut(rows.select("text_hash").distinct())
-    sets = append_columns(docs.join(small(met), "text_hash", "left_semi"), ["text"], [T.StructField("shingles", T.ArrayType(T.LongType()), False)], make, ["text_hash"])
+    fields = [T.StructField("shingles", T.ArrayType(T.LongType()), False), T.StructField("sketch", T.BinaryType(), False)]
+    sets = append_columns(docs.join(small(met), "text_hash", "left_semi"), ["text"], fields, make, ["text_hash"])
     sets = cut(sets.dropDuplicates(["text_hash"]))
-    sizes = cut(sets.select("text_hash", F.size("shingles").alias("size")))
+    sketches = sets.select("text_hash", F.size("shingles").cast("long").alias("size"), "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of (a, u, b, v), texts and fingerprints, those that are similar."""
@@ -439,17 +549,30 @@ def exact_links(prints: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFra
 
     first = rows.where("first.text_hash <> text_hash and first.fp <> fp")
     stars = verified(first.select(F.col("first.text_hash").alias("a"), F.col("first.fp").alias("u"), F.col("text_hash").alias("b"), F.col("fp").alias("v")))
-    roots = cut(components(edges.unionByName(stars)))
-    apart = rows.join(small(roots), F.col("fp") == F.col("node"), "left").select("key", "text_hash", "fp", "n", F.coalesce("root", "fp").alias("label"))
-    mixed = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    apart = cut(apart.join(small(cut(mixed)), "key", "left_semi").join(small(sizes), "text_hash"))
-    parts = F.ceil(F.col("n") / GROUP)  # a row of one side meets every part of the other
-    x = apart.withColumn("part", F.pmod(F.xxhash64("text_hash"), parts)).alias("x")
-    y = apart.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") < F.col("y.label"))
-    even = (5 * F.col("x.size") >= 4 * F.col("y.size")) & (5 * F.col("y.size") >= 4 * F.col("x.size"))
-    pairs = x.join(y, same & even).select(F.col("x.text_hash").alias("a"), F.col("x.fp").alias("u"), F.col("y.text_hash").alias("b"), F.col("y.fp").alias("v"))
-    return cut(stars.unionByName(verified(pairs)))
+    found, known, forests = stars, None, FORESTS
+    while True:
+        roots = cut(components(edges.unionByName(found)))
+        apart = rows.join(small(roots), F.col("fp") == F.col("node"), "left").select("key", "text_hash", "fp", "n", F.coalesce("root", "fp").alias("label"))
+        mixed = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        apart = cut(apart.join(small(cut(mixed)), "key", "left_semi"))
+        texts = cut(sketches.join(small(cut(apart.select("text_hash").distinct())), "text_hash", "left_semi"))
+        if known is None:
+            texts = texts.withColumn("known", F.lit(None).cast("array<bigint>"))
+        else:
+            ways = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            texts = texts.join(ways.groupBy(F.col("a").alias("text_hash")).agg(F.collect_list("b").alias("known")), "text_hash", "left")
+        parts = F.greatest(F.ceil(F.sqrt(F.col("n") / PART)), F.ceil(F.col("n") / GROUP))
+        part = F.pmod(F.xxhash64("text_hash"), F.col("parts"))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: (p != F.col("part")) | (F.col("parts") == 1))
+        dealt = apart.withColumn("parts", parts).withColumn("part", part).withColumn("other", F.explode(others))
+        dealt = dealt.withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+        pairs = cut(_forests(dealt.join(texts, "text_hash"), forests))
+        new = cut(pairs.where("a is not null").distinct())
+        found = cut(found.unionByName(verified(new)).distinct())
+        if new.isEmpty() or pairs.where("a is null").isEmpty():
+            return found
+        known = new.select("a", "b") if known is None else cut(known.unionByName(new.select("a", "b")))
+        forests *= 2
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -245,3 +245,50 @@ def test_hot_keys_keep_pairs_of_more_bits(spark, monkeypatch):
         monkeypatch.setattr(simhash, "GROUP", group)
         got.append({r.fp for r in simhash._near_prints(rows).collect()})
     assert len(got[0]) > 200 and got[0] == got[1]
+
+
+def test_sketches_pass_every_similar_pair():
+    """Sketches reject no pair of a similarity of 0.8, of any size, and most of those a little below."""
+    rng, sets = np.random.default_rng(3), []
+    for n in (1, 2, 5, 63, 64, 65, 150, 500, 4000):
+        base = rng.integers(0, 1 << 63, 2 * n, np.uint64)
+        for gone in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.3):
+            k = int(gone * n)
+            sets += [np.unique(np.r_[base[k:n], base[n : n + k]]), np.unique(base[k:n]), np.unique(base[: n + k])]
+    sketches, sizes = [simhash.parity_sketch(x) for x in sets], np.array(list(map(len, sets)))
+    got = [(min(a, b), max(a, b)) for i, j in simhash._maybe_similar(sizes, sketches, np.arange(len(sets))) for a, b in zip(i.tolist(), j.tolist())]
+    like = {(i, j): len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) for j in range(len(sets)) for i in range(j)}
+    assert len(got) == len(set(got)) and {p for p, x in like.items() if x >= 0.8} <= set(got)
+    assert not [p for p in got if like[p] < 0.5 and sizes[list(p)].min() > 100]
+
+
+@pytest.mark.parametrize("forests", [8, 1])
+def test_texts_that_are_almost_similar_make_few_pairs(spark, monkeypatch, forests):
+    """A large group of a similarity of 0.6 to 0.8: pairs to verify grow with its texts, not with their square, and no link is lost."""
+    monkeypatch.setattr(simhash, "FORESTS", forests, raising=False)
+    made, cut = [], simhash.cut
+
+    def counted(df, *rest):
+        out = cut(df, *rest)
+        made.append(out.count() if out.columns == ["a", "u", "b", "v"] else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    rng, text = random.Random(2), words(1, 200)
+    rows = [(i, edited(rng, text, rng.choice([4, 5, 6]))) for i in range(300)]
+    rows += [(300 + i, edited(rng, rows[rng.randrange(300)][1], rng.choice([1, 2, 4]))) for i in range(60)]
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, rows), exact=True).collect()}
+    sets, prints, root = [shingles(t) for _, t in rows], [brute_print(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert kept == {find(i) for i in range(len(rows))} and 200 < len(kept) < 360
+    assert sum(made) < 20 * len(rows)
