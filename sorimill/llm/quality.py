@@ -11,10 +11,10 @@ threshold, one number for all documents, is the one that best separates these
 scores (largest smaller class accuracy; ties: the lowest cut). A document is kept if
 it fails no base rule and scores at least that by the model of both folds.
 
-Counts cover the whole corpus, as a sum of one histogram for each task.
-Labelled rows are a sample of at most ``LABELLED`` ids, those with the smallest
-hash, so their table is small enough to broadcast. Nothing else is bounded but
-the histogram, whose size is fixed.
+Counts cover the whole corpus and every label, as a sum of one histogram for each
+task, and the threshold every labelled row, by running sums in ranges of scores.
+The table of labels is broadcast up to the limits of ``common.small``; beyond, the
+same join shuffles texts. Nothing is bounded but the histogram, whose size is fixed.
 
 Defined cases: a null or empty text has no words, fails the base rule and
 scores 0; null ids are unlabelled; an id with several labels takes the lowest;
@@ -32,18 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, append_columns, as_bytes
+from .common import SLICE_ROWS, append_columns, as_bytes, cut, small
 
 BITS = 13
 BUCKETS = 1 << BITS
 #: Added to each bucket's count before dividing, as a share of the mean count.
 PRIOR = 0.2
 FOLDS = 2
-LABELLED = 20_000
 WINDOW = 8
 
 _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff \t-\r]+")
@@ -109,8 +108,7 @@ def measures(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _labelled(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
-    one = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("__quality"))
-    return one.orderBy(F.xxhash64("__id"), "__id").limit(LABELLED)
+    return labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("__quality"))
 
 
 def count_ngrams(rows: DataFrame) -> DataFrame:
@@ -149,19 +147,30 @@ def log_ratios(counts: DataFrame) -> list[np.ndarray]:
     return [logs(t) - logs(whole[0]) if t.any() else np.zeros(BUCKETS) for t in (*(trusted - whole[1 + k] for k in range(FOLDS)), trusted)]
 
 
-def best_threshold(scored: list[tuple[float, int, int]]) -> float:
-    """The cut, halfway between two scores, that best separates good (1) from bad (0) rows; (score, label, rows)."""
-    at = np.unique([s for s, _, _ in scored])
-    rows = np.zeros((2, len(at)))
-    for s, q, n in scored:
-        if q in (0, 1):
-            rows[q, np.searchsorted(at, s)] += n
-    if not rows.sum(axis=1).all():
+def best_threshold(scored: DataFrame) -> float:
+    """The cut, halfway between two scores, that best separates good (1) from bad (0) rows of (score, label, n).
+
+    Scores are dealt by ranges; the driver gets the sums of each range, and the best cut.
+    """
+    good, bad = (F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(name) for k, name in ((1, "good"), (0, "bad")))
+    by_score = cut(scored.groupBy("score").agg(good, bad))
+    ranges = cut(by_score.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    sums = ranges.groupBy("part").agg(F.max("score").alias("high"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+    all_good, all_bad = sum(r["good"] for r in sums), sum(r["bad"] for r in sums)
+    if not all_good or not all_bad:
         return -math.inf
-    below = (np.cumsum(rows, axis=1) - rows) / rows.sum(axis=1, keepdims=True)
-    right_bad, right_good = below[0], 1 - below[1]
-    k = int(np.argmax(np.minimum(right_good, right_bad)))
-    return float((at[k - 1] + at[k]) / 2) if k else -math.inf
+    offsets, so_far = [], (None, 0, 0)
+    for r in sorted(sums, key=lambda r: r["high"]):
+        offsets.append((r["part"], *so_far))
+        so_far = (r["high"], so_far[1] + r["good"], so_far[2] + r["bad"])
+    offsets = scored.sparkSession.createDataFrame(offsets, "part int, high double, good_below long, bad_below long")
+    order = Window.partitionBy("part").orderBy("score")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda name: F.col(f"{name}_below") + F.coalesce(F.sum(name).over(before), F.lit(0))
+    right = F.least(1 - below("good") / F.lit(float(all_good)), below("bad") / F.lit(float(all_bad)))
+    cuts = ranges.join(F.broadcast(offsets), "part").select("score", F.coalesce(F.lag("score").over(order), "high").alias("last"), right.alias("right"))
+    best = cuts.agg(F.max_by(F.struct("score", "last"), F.struct("right", -F.col("score"))).alias("best")).first()["best"]
+    return -math.inf if best["last"] is None else (best["last"] + best["score"]) / 2
 
 
 def judge(
@@ -169,8 +178,8 @@ def judge(
 ) -> DataFrame:
     """Add the measures, ``score``, ``base_failed`` and ``kept`` to every document."""
     spark = docs.sparkSession
-    sample = F.broadcast(_labelled(labels, doc_id, label))  # at most LABELLED rows of two numbers
-    marked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(sample, "__id", "left")
+    given = small(cut(_labelled(labels, doc_id, label)))
+    marked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(given, "__id", "left")
     marked = marked.select("__text", "__quality", F.pmod(F.xxhash64("__id"), F.lit(FOLDS)).cast("int").alias("__fold"))
     ratios = spark.sparkContext.broadcast(log_ratios(count_ngrams(marked)))
 
@@ -188,9 +197,8 @@ def judge(
         return run
 
     at = append_columns(marked.where("__quality is not null"), ["__text", "__fold"], FIELDS, make, ["__quality"]).select("score", "__quality", *_failed())
-    # at most a row for each score and label, however often a labelled id is repeated
-    by_score = at.where("not base_failed").groupBy("score", "__quality").agg(F.count("*").alias("n"))
-    least = best_threshold([(r["score"], r["__quality"], r["n"]) for r in by_score.collect()])
+    by_score = at.where("not base_failed").groupBy("score", F.col("__quality").alias("label")).agg(F.count("*").alias("n"))
+    least = best_threshold(by_score)
     taken = {"base_failed", "kept"}
     carried = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
     out = append_columns(docs, [text], FIELDS, make, carried)

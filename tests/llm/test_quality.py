@@ -1,3 +1,5 @@
+import math
+import random
 import re
 from collections import Counter
 
@@ -80,3 +82,36 @@ def test_edges(spark):
     assert kept.columns == df.columns and {r.Score for r in kept.collect()} == {"own"} and kept.count() == 3
     assert quality.judge(df.limit(0), labels).count() == 0
     assert quality.judge(df, labels.limit(0)).where("kept").count() == 3
+
+
+def test_every_label_counts(spark):
+    """If all documents are trusted, the trusted model is the corpus, however many labels there are."""
+    docs = documents(spark, [(i, words(i, 3)) for i in range(20_500)])
+    judged = quality.judge(docs, docs.selectExpr("doc_id", "1 as quality"), keep=["doc_id"])
+    assert judged.where("score <> 0").count() == 0
+
+
+def test_labels_beyond_the_broadcast(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    want = by_id(quality.judge(docs, labels, keep=["doc_id"]))
+    monkeypatch.setattr(quality, "small", lambda df: df)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert by_id(quality.judge(docs, labels, keep=["doc_id"])) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_threshold_against_brute_force(spark):
+    rng = random.Random(4)
+    for n, labels in ((400, [0, 1, 2]), (40, [0, 1]), (1, [0, 1]), (30, [1])):
+        rows = [(round(rng.gauss(0.4 * (q == 1), 1), 1), q, rng.randint(1, 3)) for q in (rng.choice(labels) for _ in range(n))]
+        at = sorted({s for s, _, _ in rows})
+        good, bad = (sum(k for _, q, k in rows if q == of) for of in (1, 0))
+        want = -math.inf
+        if good and bad:
+            right = [min(1 - sum(k for s, q, k in rows if q == 1 and s < x) / good, sum(k for s, q, k in rows if q == 0 and s < x) / bad) for x in at]
+            k = right.index(max(right))
+            want = (at[k - 1] + at[k]) / 2 if k else -math.inf
+        assert quality.best_threshold(spark.createDataFrame(rows, "score double, label int, n long")) == want
